@@ -27,8 +27,8 @@ def _as_number(name: str, data_type: T.DataType) -> str | None:
     return None
 
 
-def feature_pipeline(df: DataFrame, target: str, task: str, leave_out: tuple[str, ...] = ()) -> Pipeline:
-    """Stages that add ``features`` and ``label`` to tables shaped like ``df``.
+def feature_pipeline(df: DataFrame, target: str, leave_out: tuple[str, ...] = ()) -> Pipeline:
+    """Stages that add ``features`` to tables shaped like ``df``, with or without the target.
 
     Numbers, booleans and dates become doubles with the mean for missing ones.
     Texts are one-hot encoded if they have few values and hashed otherwise, so
@@ -64,18 +64,18 @@ def feature_pipeline(df: DataFrame, target: str, task: str, leave_out: tuple[str
         stages.append(FeatureHasher(inputCols=hashed, outputCol="hashed", numFeatures=HASHED_FEATURES))
         inputs.append("hashed")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
-    if task == CLASSIFICATION:
-        # unseen classes cannot be scored; "keep" lets rows without a target through
-        stages.append(
-            StringIndexer(inputCol=target, outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc")
-        )
-    elif task == REGRESSION:
-        stages.append(SQLTransformer(statement=f"SELECT *, CAST(`{target}` AS DOUBLE) AS label FROM __THIS__"))
-    else:
-        raise ValueError(f"unknown task '{task}'")
     return Pipeline(stages=stages)
 
 
+def label_stage(target: str, task: str) -> StringIndexer | SQLTransformer:
+    """Stage that adds ``label``; rows of a class not seen in fitting are left out."""
+    if task == CLASSIFICATION:
+        return StringIndexer(inputCol=target, outputCol="label", handleInvalid="skip", stringOrderType="alphabetAsc")
+    if task == REGRESSION:
+        return SQLTransformer(statement=f"SELECT *, CAST(`{target}` AS DOUBLE) AS label FROM __THIS__")
+    raise ValueError(f"unknown task '{task}'")
+
+
 def feature_names(featured: DataFrame) -> list[str]:
     """Names of the slots of ``features``, from the attributes Spark ML keeps."""
     attributes = featured.schema["features"].metadata.get("ml_attr", {})

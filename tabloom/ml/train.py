@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -23,7 +23,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.ml import evaluate
-from tabloom.ml.features import CLASSIFICATION, REGRESSION, feature_names, feature_pipeline
+from tabloom.ml.features import CLASSIFICATION, REGRESSION, feature_names, feature_pipeline, label_stage
 from tabloom.ml.split import fold, split
 
 # Families by task, the most models trained, the seed
@@ -149,16 +149,18 @@ def train(
     families = families or list(FAMILIES[task])
     labelled = df.filter(F.col(f"`{target}`").isNotNull())
     parts = split(labelled, key, SEED)
-    prepared = feature_pipeline(parts["train"], target, task, leave_out=(key,)).fit(parts["train"])
-    needed = [F.col(f"`{key}`"), "features", "label"]
-    fit_on = prepared.transform(parts["train"]).select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
-    judge_on = prepared.transform(parts["validation"]).select(*needed).persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = feature_pipeline(parts["train"], target, leave_out=(key,)).fit(parts["train"])
+    labeller = Pipeline(stages=[label_stage(target, task)]).fit(parts["train"])
+    labels = list(labeller.stages[0].labels) if task == CLASSIFICATION else []
+    if len(labels) > evaluate.MAX_CLASSES:
+        raise ValueError(f"'{target}' has {len(labels)} classes; regress on it instead")
+    fit_on, judge_on = (
+        labeller.transform(prepared.transform(parts[part]))
+        .select(F.col(f"`{key}`"), "features", "label")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+        for part in ("train", "validation")
+    )
     try:
-        labels = prepared.stages[-1].labels if task == CLASSIFICATION else []
-        if len(labels) > evaluate.MAX_CLASSES:
-            raise ValueError(f"'{target}' has {len(labels)} classes; regress on it instead")
-        if task == CLASSIFICATION:  # classes only the other parts have cannot be learnt or judged
-            judge_on = judge_on.filter(F.col("label") < len(labels))
         names = feature_names(fit_on)
         spread = fit_on.agg(Summarizer.std(F.col("features")).alias("s")).first()["s"]
         deviations = spread.toArray().tolist() if spread is not None else []

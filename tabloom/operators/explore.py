@@ -22,7 +22,8 @@ def _bin(value: Column, low: float, high: float, bins: int) -> Column:
     if high == low:
         return F.when(value.isNotNull(), F.lit(0))
     width = (high - low) / bins
-    return F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    place = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    return F.when(value.isNotNull(), place)  # least() would skip a null
 
 
 def _bin_grid(df: DataFrame, low: float, high: float, bins: int) -> DataFrame:
