@@ -66,7 +66,7 @@ def cast_column(df: DataFrame, name: str, type_name: str, lenient: bool = False)
     if target.maximum is None:
         return converted
 
-    in_range = converted.between(F.lit(0), F.lit(target.maximum).cast(target.spark))
+    in_range = converted.between(F.lit(0), F.lit(str(target.maximum)).cast(target.spark))
     if lenient:
         return F.when(in_range, converted)
     return F.when(converted.isNull() | in_range, converted).otherwise(

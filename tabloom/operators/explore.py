@@ -103,7 +103,7 @@ def box_stats(df: DataFrame, column: str) -> DataFrame:
         F.lit(q3).cast("double").alias("q3"),
         F.min(F.when(inside, x)).alias("whisker_low"),
         F.max(F.when(inside, x)).alias("whisker_high"),
-        F.count_if(~inside).alias("outliers"),
+        F.count_if(x.isNotNull() & ~inside).alias("outliers"),
     )
 
 
