@@ -1,12 +1,15 @@
 """Exact order statistics without sorting a table or holding a column in one task.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
-buffer. Here a sketch first brackets the wanted ranks, a count settles where
-each rank lies, and only a bracket of at most ``SMALL`` rows reaches the exact
-aggregate. Each pass is an aggregate combined on the map side, so the shuffle
-carries one buffer per task whatever the row count or skew; a hot value ends
-its search at once because a bracket edge that holds the rank is the answer.
-Two to three passes do for 10^8 rows, five for 10^12.
+buffer. Here a sketch of a row sample first brackets the wanted ranks, a count
+over all rows settles where each rank lies, and only a bracket of at most
+``SMALL`` rows reaches the exact aggregate. The sample decides how fast a rank
+is found, never which value is returned: a rank outside its bracket is looked
+for in the stretch that holds it.
+
+Each pass is an aggregate combined on the map side, so the shuffle carries a
+few buffers per task whatever the row count or skew; a hot value ends its search
+at once because a bracket edge that holds the rank is the answer.
 """
 
 from __future__ import annotations
@@ -19,9 +22,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabloom.functions.columns import measure
 
-SMALL = 20_000  # rows an exact aggregate buffer may hold
+SMALL = 100_000  # rows an exact aggregate buffer may hold
 ACCURACY = 10_000  # rank error of a sketch is rows / ACCURACY
-SLACK = 2 / ACCURACY
+SAMPLED = 50_000  # rows a sketch should see ...
+LEAST_FRACTION = 0.01  # ... or this share of them, if that is more
+COLUMNS_PER_PASS = 8  # keeps the generated code of a pass small enough to compile
+EDGES_PER_AGGREGATE = 12  # likewise for counts that are one aggregate each
+
+
+def _sql(value: float) -> str:
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value!r}')"
 
 
 @dataclass(frozen=True)
@@ -38,20 +48,18 @@ class Bracket:
     above: float | None = None
     below: float | None = None
 
-    def values(self) -> Column:
-        x = F.col(self.column)
-        if self.above is None and self.below is None:
-            return x
-        inside = F.lit(True)
+    def values(self) -> str:
+        """SQL for the column's values inside the bracket."""
+        tests = []
         if self.above is not None:
-            inside = inside & (x > self.above)
+            tests.append(f"{self.column} > {_sql(self.above)}")
         if self.below is not None:
-            inside = inside & (x < self.below)
-        return F.when(inside, x)
+            tests.append(f"{self.column} < {_sql(self.below)}")
+        return f"CASE WHEN {' AND '.join(tests)} THEN {self.column} END" if tests else self.column
 
-    def fractions(self) -> list[float]:
+    def fractions(self, slack: float) -> list[float]:
         low, high = (min(self.ranks) - self.start), (max(self.ranks) - self.start + 1)
-        return [max(0.0, low / self.rows - SLACK), min(1.0, high / self.rows + SLACK)]
+        return [max(0.0, low / self.rows - slack), min(1.0, high / self.rows + slack)]
 
 
 def exact_quantiles(
@@ -68,35 +76,32 @@ def exact_quantiles(
     if interpolation not in ("linear", "nearest"):
         raise ValueError(f"unknown interpolation '{interpolation}'")
     wanted = {c: sorted(set(qs)) for c, qs in wanted.items() if qs}
-    if not wanted:
-        return {}
+    found: dict[tuple[str, float], float | None] = {}
+    columns = list(wanted)
+    for start in range(0, len(columns), COLUMNS_PER_PASS):
+        block = {c: wanted[c] for c in columns[start : start + COLUMNS_PER_PASS]}
+        found.update(_quantiles(df, block, interpolation, small))
+    return found
+
+
+def _quantiles(
+    df: DataFrame, wanted: dict[str, list[float]], interpolation: str, small: int
+) -> dict[tuple[str, float], float | None]:
     names = {c: f"m{i}" for i, c in enumerate(wanted)}
     # The passes below share these few doubles, so what lies upstream (a join,
     # say) runs once. Lost blocks are recomputed from lineage.
     narrow = df.select(*[measure(df, c).alias(m) for c, m in names.items()])
     narrow = narrow.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        near = {
-            c: sorted({f for q in qs for f in (max(0.0, q - SLACK), min(1.0, q + SLACK))})
-            for c, qs in wanted.items()
-        }
-        first = narrow.agg(
-            *[F.count(m).alias(m) for m in names.values()],
-            *[F.percentile_approx(names[c], near[c], ACCURACY).alias(f"e_{names[c]}") for c in wanted],
-        ).first()
+        counts = narrow.agg(*[F.count(m).alias(m) for m in names.values()]).first()
         ranks = {
-            (c, q): _ranks(q, first[m], interpolation)
+            (c, q): _ranks(q, counts[m], interpolation)
             for c, m in names.items()
-            if first[m]
+            if counts[m]
             for q in wanted[c]
         }
-        brackets, edges = [], []
-        for (c, q), (sought, _) in ranks.items():
-            m = names[c]
-            brackets.append(Bracket(m, sought, 0, first[m]))
-            at = dict(zip(near[c], first[f"e_{m}"]))
-            edges.append((at[max(0.0, q - SLACK)], at[min(1.0, q + SLACK)]))
-        found = _select(narrow, brackets, edges, small)
+        brackets = [Bracket(names[c], sought, 0, counts[names[c]]) for (c, _), (sought, _) in ranks.items()]
+        found = _select(narrow, brackets, small)
     finally:
         narrow.unpersist()
 
@@ -121,63 +126,113 @@ def _ranks(q: float, rows: int, interpolation: str) -> tuple[tuple[int, ...], fl
     return ((low,) if low == high else (low, high)), position - low
 
 
-def _select(
-    df: DataFrame, brackets: list[Bracket], edges: list[tuple[float, float]], small: int
-) -> dict[tuple[str, int], float]:
+def _select(df: DataFrame, brackets: list[Bracket], small: int) -> dict[tuple[str, int], float]:
     """Value at each sought rank, keyed by (column, rank)."""
     found: dict[tuple[str, int], float] = {}
     ready: list[Bracket] = []
     while brackets:
-        wide = [(b, e) for b, e in zip(brackets, edges) if b.rows > small]
         ready += [b for b in brackets if b.rows <= small]
+        wide = [b for b in brackets if b.rows > small]
         if not wide:
             break
-        brackets = _narrow(df, wide, found)
-        large = [b for b in brackets if b.rows > small]
-        edges = [(0.0, 0.0)] * len(brackets)
-        if large:
-            row = df.agg(
-                *[
-                    F.percentile_approx(b.values(), b.fractions(), ACCURACY).alias(f"e{i}")
-                    for i, b in enumerate(large)
-                ]
-            ).first()
-            sketched = {b: tuple(row[i]) for i, b in enumerate(large)}
-            edges = [sketched.get(b, (0.0, 0.0)) for b in brackets]
-    if ready:
-        # the discrete percentile at the middle of a rank's share is that element
+        brackets = _narrow(df, wide, _edges(df, wide), found)
+    # brackets over the same values share a buffer
+    shared: dict[tuple, list[Bracket]] = {}
+    for b in ready:
+        shared.setdefault((b.column, b.above, b.below), []).append(b)
+    if shared:
+        groups = list(shared.values())
         row = (
-            df.select(*[b.values().alias(f"v{i}") for i, b in enumerate(ready)])
-            .agg(*[_at_ranks(f"v{i}", b).alias(f"x{i}") for i, b in enumerate(ready)])
+            df.selectExpr(*[f"{g[0].values()} AS v{i}" for i, g in enumerate(groups)])
+            .agg(*[_at_ranks(f"v{i}", g).alias(f"x{i}") for i, g in enumerate(groups)])
             .first()
         )
-        for i, b in enumerate(ready):
-            found.update({(b.column, rank): value for rank, value in zip(b.ranks, row[i])})
+        for i, g in enumerate(groups):
+            spots = [(b.column, rank) for b in g for rank in b.ranks]
+            found.update(dict(zip(spots, row[i])))
     return found
 
 
-def _at_ranks(values: str, bracket: Bracket) -> Column:
-    middles = ", ".join(f"{(r - bracket.start + 0.5) / bracket.rows!r}D" for r in bracket.ranks)
-    return F.expr(f"percentile_disc(array({middles})) WITHIN GROUP (ORDER BY {values})")
+def _edges(df: DataFrame, wide: list[Bracket]) -> list[tuple[float, float]]:
+    """Two values of each bracket that should enclose its ranks.
+
+    Brackets over the same values share a sketch.
+    """
+    share = max(LEAST_FRACTION, min(1.0, SAMPLED / min(b.rows for b in wide)))
+    for fraction in (share, 1.0):
+        asked: dict[tuple, list[float]] = {}
+        for b in wide:
+            slack = 2 / ACCURACY + (2 / math.sqrt(b.rows * fraction) if fraction < 1 else 0)
+            asked.setdefault((b.column, b.above, b.below), []).extend(b.fractions(slack))
+        values = {(b.column, b.above, b.below): b.values() for b in wide}
+        rows = df.sample(fraction, seed=11) if fraction < 1 else df
+        row = rows.agg(
+            *[
+                F.expr(f"percentile_approx({values[k]}, array({', '.join(map(_sql, f))}), {ACCURACY})").alias(f"e{i}")
+                for i, (k, f) in enumerate(asked.items())
+            ]
+        ).first()
+        if all(row[i] for i in range(len(asked))):  # a sample may miss a bracket
+            break
+    answers = {k: iter(row[i]) for i, k in enumerate(asked)}
+    return [
+        (next(answers[b.column, b.above, b.below]), next(answers[b.column, b.above, b.below])) for b in wide
+    ]
+
+
+def _at_ranks(values: str, brackets: list[Bracket]) -> Column:
+    # the discrete percentile at the middle of a rank's share is that element
+    middles = [(r - b.start + 0.5) / b.rows for b in brackets for r in b.ranks]
+    fractions = ", ".join(map(_sql, middles))
+    return F.expr(f"percentile_disc(array({fractions})) WITHIN GROUP (ORDER BY {values})")
+
+
+def _around(column: str, edges: list[float], base: int) -> str:
+    """Place of a value, from ``base``: 2i below edge i and above the one before, 2i + 1 on edge i."""
+    places = " ".join(
+        f"WHEN {column} < {_sql(e)} THEN {base + 2 * i} WHEN {column} = {_sql(e)} THEN {base + 2 * i + 1}"
+        for i, e in enumerate(edges)
+    )
+    return f"CASE WHEN {column} IS NULL THEN NULL {places} ELSE {base + 2 * len(edges)} END"
+
+
+def _count_around(df: DataFrame, probes: dict[str, list[float]]) -> tuple[dict, dict]:
+    """Rows below, and up to, each (column, edge)."""
+    flat = [(m, edge) for m, edges in probes.items() for edge in edges]
+    if len(flat) <= EDGES_PER_AGGREGATE:
+        row = df.agg(
+            *[F.expr(f"count_if({m} < {_sql(e)}) AS lt{i}") for i, (m, e) in enumerate(flat)],
+            *[F.expr(f"count_if({m} <= {_sql(e)}) AS le{i}") for i, (m, e) in enumerate(flat)],
+        ).first()
+        return {p: row[f"lt{i}"] for i, p in enumerate(flat)}, {p: row[f"le{i}"] for i, p in enumerate(flat)}
+
+    bases, base = {}, 0
+    for m, edges in probes.items():
+        bases[m], base = base, base + 2 * len(edges) + 1
+    places = ", ".join(_around(m, edges, bases[m]) for m, edges in probes.items())
+    sizes = dict(tuple(r) for r in df.selectExpr(f"explode(array({places})) AS place").groupBy("place").count().collect())
+    before, upto = {}, {}
+    for m, edges in probes.items():
+        total = 0
+        for i, edge in enumerate(edges):
+            total += sizes.get(bases[m] + 2 * i, 0)
+            before[m, edge] = total
+            total += sizes.get(bases[m] + 2 * i + 1, 0)
+            upto[m, edge] = total
+    return before, upto
 
 
 def _narrow(
-    df: DataFrame, wide: list[tuple[Bracket, tuple[float, float]]], found: dict[tuple[str, int], float]
+    df: DataFrame, wide: list[Bracket], edges: list[tuple[float, float]], found: dict[tuple[str, int], float]
 ) -> list[Bracket]:
     """Count around the edges; keep the stretches that hold a sought rank."""
-    probes = sorted({(b.column, e) for b, edges in wide for e in edges})
-    counted = df.agg(
-        *[
-            c
-            for i, (m, e) in enumerate(probes)
-            for c in (F.count_if(F.col(m) < e).alias(f"lt{i}"), F.count_if(F.col(m) <= e).alias(f"le{i}"))
-        ]
-    ).first()
-    before = {p: counted[f"lt{i}"] for i, p in enumerate(probes)}
-    upto = {p: counted[f"le{i}"] for i, p in enumerate(probes)}
+    probes: dict[str, set[float]] = {}
+    for b, pair in zip(wide, edges):
+        probes.setdefault(b.column, set()).update(pair)
+    before, upto = _count_around(df, {m: sorted(values) for m, values in probes.items()})
 
     narrower: list[Bracket] = []
-    for b, (low, high) in wide:
+    for b, (low, high) in zip(wide, edges):
         at_low, at_high = (b.column, low), (b.column, high)
         open_stretches = [
             (b.start, before[at_low], b.above, low),

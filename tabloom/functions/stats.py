@@ -23,8 +23,9 @@ def countable(df: DataFrame, name: str) -> Column:
     return col(name)
 
 
-def value_counts_by_column(df: DataFrame, columns: Iterable[str]) -> list[DataFrame]:
-    """``(name, value, n)`` per kind of type, each from one scan and one shuffle.
+def value_counts_by_column(df: DataFrame, columns: Iterable[str]) -> list[tuple[list[str], DataFrame]]:
+    """Per kind of type, the columns of that kind and their ``(name, value, n)``,
+    each from one scan and one shuffle.
 
     Counting is combined on the map side, so a value that fills a third of the
     table costs one row per task in the shuffle.
@@ -41,7 +42,7 @@ def value_counts_by_column(df: DataFrame, columns: Iterable[str]) -> list[DataFr
         else:
             kind = "string"
         kinds.setdefault(kind, []).append(name)
-    return [_counts(df, names, kind) for kind, names in kinds.items()]
+    return [(names, _counts(df, names, kind)) for kind, names in kinds.items()]
 
 
 def _counts(df: DataFrame, names: list[str], kind: str) -> DataFrame:
@@ -54,17 +55,22 @@ def _counts(df: DataFrame, names: list[str], kind: str) -> DataFrame:
     return typed.groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def most_frequent() -> Column:
-    """Mode over ``(value, n)`` rows: nulls ignored, the smallest value wins a tie."""
-    value = F.col("value")
-    return F.min_by(F.when(value.isNotNull(), value), F.when(value.isNotNull(), F.struct(-F.col("n"), value)))
+def most_frequent(name: str) -> Column:
+    """Mode of one column over ``(name, value, n)`` rows: nulls ignored, the smallest
+    value wins a tie.
+
+    For an aggregate without keys: grouped by name, Spark would have to sort the
+    rows, because the running minimum has no fixed width.
+    """
+    value, n = F.col("value"), F.col("n")
+    return F.min_by(value, F.when((F.col("name") == name) & value.isNotNull(), F.struct(-n, value)))
 
 
 def modes(df: DataFrame, columns: Iterable[str]) -> dict[str, Any]:
     result: dict[str, Any] = {}
-    for counts in value_counts_by_column(df, columns):
-        for row in counts.groupBy("name").agg(most_frequent().alias("mode")).collect():
-            result[row["name"]] = row["mode"]
+    for names, counts in value_counts_by_column(df, columns):
+        row = counts.agg(*[most_frequent(c).alias(f"v{i}") for i, c in enumerate(names)]).first()
+        result.update(zip(names, row))
     return result
 
 

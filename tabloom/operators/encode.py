@@ -81,9 +81,10 @@ def label_codes(
     distinct = df.select(col(column).alias("value")).filter("value IS NOT NULL").distinct()
     if _fits(distinct, small, small_bytes):
         values = [r["value"] for r in distinct.orderBy("value").collect()]
-        return df.sparkSession.createDataFrame(
+        codes = df.sparkSession.createDataFrame(
             [(v, i) for i, v in enumerate(values)], f"value {data_type.simpleString()}, code bigint"
         )
+        return F.broadcast(codes)  # its rows and bytes were checked
     # any text can be a cut, so the start of a long one will do
     cut = F.substring("value", 1, 64) if isinstance(data_type, T.StringType) else F.col("value")
     sample = distinct.orderBy(F.xxhash64("value"), "value").limit(RANGES - 1).select(cut.alias("cut")).collect()

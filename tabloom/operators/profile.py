@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tabloom.functions.columns import col, field_type, is_numeric, measure, numeric_columns, require_columns
+from tabloom.functions.columns import col, field_type, is_numeric, require_columns
 from tabloom.functions.quantiles import exact_quantiles
 from tabloom.functions.stats import countable, most_frequent, value_counts_by_column
 
@@ -87,37 +87,89 @@ def dataset_summary(df: DataFrame) -> DataFrame:
     return long.unionByName(repeated)
 
 
+def _numbers(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per numeric column: plain statistics from a single scan.
+
+    The columns become rows before the partial aggregate, so the compiled code
+    stays the same size however wide the table is.
+    """
+    x = F.col("x")
+    present = F.when(~F.isnan(x), x)
+    grouped = (
+        df.select(*[col(c).cast("double").alias(c) for c in columns])
+        .unpivot([], [col(c) for c in columns], "column_name", "x")
+        .groupBy("column_name")
+        .agg(
+            F.count(x).alias("count"),
+            F.count_if(x.isNull()).alias("null_count"),
+            F.avg(present).alias("mean"),
+            F.stddev_samp(present).alias("std"),
+            F.min(present).alias("min"),
+            F.max(present).alias("max"),
+        )
+    )
+    return _together(df, columns, [grouped]).fillna(0, ["count", "null_count"])
+
+
+def _together(df: DataFrame, columns: list[str], parts: list[DataFrame]) -> DataFrame:
+    """One row per column from parts that each know some of its numbers.
+
+    Every column has a row, also those of an empty table, which has no groups.
+    """
+    names = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in columns])).alias("column_name"))
+    united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts, names)
+    numbers = [c for c in united.columns if c != "column_name"]
+    return united.groupBy("column_name").agg(*[F.max(c).alias(c) for c in numbers])
+
+
+def _by_column(found: dict[str, float | None]) -> Column:
+    """A value bound per column, looked up by ``column_name``."""
+    cells = [F.lit(x) for c, value in found.items() if value is not None for x in (c, value)]
+    return F.try_element_at(F.create_map(*cells), F.col("column_name")) if cells else F.lit(None).cast("double")
+
+
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(column_name, statistic, value)`` for count, null_count, mean, std (sample), min,
-    the quartiles and max. Columns that are not numeric have counts only as numbers;
-    their smallest and largest values are in ``text``."""
+    """``(column_name, statistic, value, text)`` for count, null_count, mean, std (sample),
+    min, the quartiles and max. Columns that are not numeric have counts only as
+    numbers; their smallest and largest values are in ``text``."""
     columns = columns or df.columns
     require_columns(df, columns)
-    numeric = [c for c in columns if c in numeric_columns(df)]
-    quartiles = exact_quantiles(df, {c: QUARTILES for c in numeric})
-
-    per_column = []
-    for c in columns:
-        value = col(c)
-        cells = [("count", F.count(value), None), ("null_count", F.count_if(value.isNull()), None)]
-        if c in numeric:
-            x = measure(df, c)
-            cells += [("mean", F.avg(x), None), ("std", F.stddev_samp(x), None), ("min", F.min(x), None)]
-            cells += [(f"{q:.0%}", F.lit(quartiles[c, q]), None) for q in QUARTILES]
-            cells += [("max", F.max(x), None)]
-        else:
-            orderable = countable(df, c).cast("string") if not _orderable(field_type(df, c)) else value
-            cells += [("min", None, F.min(orderable)), ("max", None, F.max(orderable))]
-        per_column += [
-            F.struct(
-                F.lit(c).alias("column_name"),
-                F.lit(statistic).alias("statistic"),
-                (number if number is not None else F.lit(None)).cast("double").alias("value"),
-                (text if text is not None else F.lit(None)).cast("string").alias("text"),
-            )
-            for statistic, number, text in cells
-        ]
-    return df.agg(F.array(*per_column).alias("cells")).select(F.inline("cells"))
+    numeric = [c for c in columns if is_numeric(field_type(df, c))]
+    others = [c for c in columns if c not in numeric]
+    parts = []
+    if numeric:
+        quartiles = exact_quantiles(df, {c: QUARTILES for c in numeric})
+        wide = _numbers(df, numeric).withColumns(
+            {f"{q:.0%}": _by_column({c: quartiles[c, q] for c in numeric}) for q in QUARTILES}
+        )
+        statistics = [c for c in wide.columns if c != "column_name"]
+        parts.append(
+            wide.select("column_name", *[col(c).cast("double").alias(c) for c in statistics])
+            .unpivot(["column_name"], [col(c) for c in statistics], "statistic", "value")
+            .withColumn("text", F.lit(None).cast("string"))
+        )
+    if others:
+        cells = []
+        for c in others:
+            value = col(c) if _orderable(field_type(df, c)) else countable(df, c)
+            for statistic, number, text in (
+                ("count", F.count(value), F.lit(None)),
+                ("null_count", F.count_if(value.isNull()), F.lit(None)),
+                ("min", F.lit(None), F.min(value)),
+                ("max", F.lit(None), F.max(value)),
+            ):
+                cells.append(
+                    F.struct(
+                        F.lit(c).alias("column_name"),
+                        F.lit(statistic).alias("statistic"),
+                        number.cast("double").alias("value"),
+                        text.cast("string").alias("text"),
+                    )
+                )
+        parts.append(
+            df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _orderable(data_type: T.DataType) -> bool:
@@ -133,54 +185,41 @@ def column_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     require_columns(df, columns)
     numeric = [c for c in columns if is_numeric(field_type(df, c))]
-    medians = exact_quantiles(df, {c: [0.5] for c in numeric})
-
-    def numbers(c: str) -> dict[str, Column]:
-        if c not in numeric:
-            return {m: F.lit(None).cast("double") for m in ("mean", "median", "std", "min", "max")}
-        x = measure(df, c)
-        return {
-            "mean": F.avg(x),
-            "median": F.lit(medians[c, 0.5]).cast("double"),
-            "std": F.stddev_samp(x),
-            "min": F.min(x),
-            "max": F.max(x),
-        }
-
-    scanned = df.agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column_name"),
-                    F.lit(field_type(df, c).simpleString()).alias("data_type"),
-                    F.count_if(col(c).isNull()).alias("missing_values"),
-                    *[e.alias(m) for m, e in numbers(c).items()],
-                )
-                for c in columns
-            ]
-        ).alias("cells")
-    ).select(F.inline("cells"))
-
-    counted = [
-        counts.groupBy("name").agg(
-            F.count(F.lit(1)).alias("unique_values"),
-            (most_frequent() if is_numeric(counts.schema["value"].dataType) else F.lit(None)).cast("double").alias("mode"),
+    others = [c for c in columns if c not in numeric]
+    parts = []
+    if numeric:
+        medians = exact_quantiles(df, {c: [0.5] for c in numeric})
+        parts.append(
+            _numbers(df, numeric)
+            .withColumn("median", _by_column({c: medians[c, 0.5] for c in numeric}))
+            .select("column_name", F.col("null_count").alias("missing_values"), "mean", "median", "std", "min", "max")
         )
-        for counts in value_counts_by_column(df, columns)
-    ]
-    frequencies = reduce(DataFrame.unionByName, counted).withColumnRenamed("name", "column_name")
-    # both halves have one row per column of the table
-    return scanned.join(F.broadcast(frequencies), "column_name", "left").select(
+    if others:
+        parts.append(
+            df.select(*[col(c).isNull().alias(c) for c in others])
+            .unpivot([], [col(c) for c in others], "column_name", "gap")
+            .groupBy("column_name")
+            .agg(F.count_if("gap").alias("missing_values"))
+        )
+    for names, counts in value_counts_by_column(df, columns):
+        cells = [
+            F.struct(
+                F.lit(c).alias("column_name"),
+                F.count_if(F.col("name") == c).alias("unique_values"),
+                (most_frequent(c) if c in numeric else F.lit(None)).cast("double").alias("mode"),
+            )
+            for c in names
+        ]
+        parts.append(counts.agg(F.array(*cells).alias("cells")).select(F.inline("cells")))
+    united = _together(df, columns, parts)
+    types = F.create_map(*[F.lit(x) for c in columns for x in (c, field_type(df, c).simpleString())])
+    number = lambda m: (F.col(m) if m in united.columns else F.lit(None).cast("double")).alias(m)
+    return united.select(
         "column_name",
-        "data_type",
+        types[F.col("column_name")].alias("data_type"),
         F.coalesce("unique_values", F.lit(0)).alias("unique_values"),
-        "missing_values",
-        "mean",
-        "median",
-        "mode",
-        "std",
-        "min",
-        "max",
+        F.coalesce("missing_values", F.lit(0)).alias("missing_values"),
+        *[number(m) for m in ("mean", "median", "mode", "std", "min", "max")],
     )
 
 

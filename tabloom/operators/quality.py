@@ -111,7 +111,7 @@ def check_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
     if row_rules:
         verdicts = [_verdict(order, rule, F.count_if(~test)) for order, rule, test in row_rules]
         parts.append(df.agg(F.array(*verdicts).alias("v")).select(F.inline("v")).filter("failed_rows > 0"))
-    for counts in value_counts_by_column(df, unique_rules):
+    for _, counts in value_counts_by_column(df, unique_rules):
         surplus = counts.groupBy("name").agg((F.sum("n") - F.count(F.lit(1))).alias("surplus")).filter("surplus > 0")
         verdicts = [
             F.when(F.col("name") == column, F.array(*[_verdict(o, r, F.col("surplus")) for o, r in of_column]))

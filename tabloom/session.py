@@ -19,6 +19,10 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.timeType.enabled": "true",
+    # split a hot key also where the join's partitioning would have been reused
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # recording the call site of every expression slows long plans down
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 _local_folders: dict[str, str] = {}

@@ -218,7 +218,7 @@ def test_summary_of_empty_table(spark):
     assert rows["x"]["unique_values"] == 0 and rows["x"]["mean"] is None and rows["t"]["missing_values"] == 0
     summary = {r["metric"]: r["value"] for r in profile.dataset_summary(empty).collect()}
     assert summary == {"rows": 0.0, "columns": 2.0, "missing_values": 0.0, "size_mb": 0.0, "duplicate_rows": 0.0}
-    assert profile.describe(empty).filter("statistic = 'count'").count() == 2
+    assert profile.describe(empty).filter("statistic = 'count' AND value = 0").count() == 2
 
 
 def test_filter_options_limit_is_exact(spark):
@@ -262,11 +262,25 @@ def test_correlation_ignores_nan_and_null(spark):
     assert explore.correlation_numeric(df.select(F.lit("t").alias("t"))).count() == 0
 
 
-def test_correlation_blocks(spark, monkeypatch):
-    monkeypatch.setattr(explore, "AGGREGATES_PER_PASS", 2)
-    df = spark.range(50).select(*[(F.col("id") * i % 13).alias(f"c{i}") for i in range(1, 4)])
-    in_blocks = explore.correlation_numeric(df).count()
-    assert in_blocks == 9
+@pytest.mark.parametrize("limit", [60, 0])
+def test_correlation_over_complete_pairs(spark, monkeypatch, limit):
+    monkeypatch.setattr(explore, "SUMS_PER_AGGREGATE", limit)
+    df = spark.range(200).select(
+        (F.sin("id") + 1e6).alias("a"),
+        F.when(F.col("id") % 3 > 0, F.cos("id") + F.sin("id")).alias("b"),
+        F.when(F.col("id") % 5 > 0, F.col("id") * F.col("id")).alias("c"),
+        F.lit(0.1).alias("constant"),
+        F.when(F.col("id") < 0, 1.0).alias("empty"),
+    )
+    frame = df.toPandas().corr()
+    found = {(r["col_a"], r["col_b"]): r["corr"] for r in explore.correlation_numeric(df).collect()}
+    assert len(found) == 25
+    for (a, b), corr in found.items():
+        if {"constant", "empty"} & {a, b}:
+            assert corr is None
+        else:
+            assert corr == pytest.approx(frame.loc[a, b], abs=1e-9)
+    assert explore.correlation_pair(df, "a", "constant").first()[0] is None
 
 
 def test_bivariate_types(people, spark):
