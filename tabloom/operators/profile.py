@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tabloom.functions.columns import col, field_type, is_numeric, require_columns
 from tabloom.functions.quantiles import exact_quantiles
 from tabloom.functions.stats import countable, most_frequent, value_counts_by_column
+from tabloom.operators.project import head
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -255,3 +256,8 @@ def filter_options(df: DataFrame, fewer_than: int = 100, probe: int = 10_000) ->
     few = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < fewer_than)
     # one row per column at most
     return values.join(F.broadcast(few.select("column_name")), "column_name", "left_semi")
+
+
+def overview(df: DataFrame, rows: int = 5) -> dict[str, DataFrame]:
+    """What one looks at before choosing a model: first rows, summary, statistics."""
+    return {"head": head(df, rows), "summary": dataset_summary(df), "statistics": describe(df)}

@@ -20,6 +20,8 @@ WARNING, ERROR, HIGH = "Warning", "Error", "High"
 NO_COLUMN = "Column '{column}' not found. It may have been dropped during data manipulation."
 FAILED = "Error applying rule: {reason}"
 
+RULES_PER_SCAN = 50  # more counts in one aggregate are too much code to be compiled
+
 RESULT = "rule_order int, rule_name string, column_name string, severity string, message string, failed_rows bigint"
 
 
@@ -108,8 +110,9 @@ def check_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
                 broken.append(_verdict(order, rule, F.lit(None), HIGH, FAILED.format(reason=_reason(error))))
 
     parts = []
-    if row_rules:
-        verdicts = [_verdict(order, rule, F.count_if(~test)) for order, rule, test in row_rules]
+    for start in range(0, len(row_rules), RULES_PER_SCAN):
+        block = row_rules[start : start + RULES_PER_SCAN]
+        verdicts = [_verdict(order, rule, F.count_if(~test)) for order, rule, test in block]
         parts.append(df.agg(F.array(*verdicts).alias("v")).select(F.inline("v")).filter("failed_rows > 0"))
     for _, counts in value_counts_by_column(df, unique_rules):
         surplus = counts.groupBy("name").agg((F.sum("n") - F.count(F.lit(1))).alias("surplus")).filter("surplus > 0")

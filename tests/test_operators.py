@@ -221,6 +221,14 @@ def test_summary_of_empty_table(spark):
     assert profile.describe(empty).filter("statistic = 'count' AND value = 0").count() == 2
 
 
+def test_overview(people):
+    parts = profile.overview(people.drop("dept.name"), rows=2)
+    assert parts["head"].count() == 2
+    assert {r["metric"]: r["value"] for r in parts["summary"].collect()}["missing_values"] == 3.0
+    means = {r["column_name"]: r["value"] for r in parts["statistics"].filter("statistic = 'mean'").collect()}
+    assert means == {"id": 2.5, "age": pytest.approx(124 / 3), "salary": pytest.approx(7000 / 3)}
+
+
 def test_filter_options_limit_is_exact(spark):
     df = spark.range(400).select(
         (F.col("id") % 99).alias("n99"),

@@ -97,6 +97,12 @@ def test_row_rules_share_one_scan(spark, sf_dir):
     assert plan.count("FileScan") == 1 and "props" not in plan
 
 
+def test_many_rules_keep_their_order(numbers, monkeypatch):
+    monkeypatch.setattr(quality, "RULES_PER_SCAN", 3)
+    rules = [Rule(f"r{i}", RANGE, "x", lower=-100, upper=i) for i in range(8)]
+    assert failed(numbers, *rules) == [(f"r{i}", "Error", sum(v >= i for v in (-5, 0, 5, 10))) for i in range(8)]
+
+
 def test_stored_rules(spark):
     definitions = spark.createDataFrame(
         [(1, 7, "range", RANGE, "lambda x: -5.5 <= x <= 1e3", "Error", ["a", "b"], "${col_name}: ${col_name} is bad"),
