@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tabloom.functions.columns import DuplicateColumn, col, field_type, require_columns
 from tabloom.operators.merge import merge
+from tabloom.session import scratch_path
 
 MAX_ONE_HOT = 1_000  # every category becomes a column of the plan
 SMALL_CODES = 10_000  # up to so many values are numbered on the driver ...
 SMALL_BYTES = 16 << 20  # ... if they are short enough together
-RANGES = 1_024  # stretches of the sorted values beyond that
+RANGE_VALUES = 100_000  # beyond that, about so many values per stretch of the sorted values ...
+MAX_RANGES = 4_096  # ... and at most so many stretches
 
 
 class TooManyCategories(ValueError):
@@ -79,15 +81,21 @@ def label_codes(
     """
     data_type = field_type(df, column)
     distinct = df.select(col(column).alias("value")).filter("value IS NOT NULL").distinct()
-    if _fits(distinct, small, small_bytes):
+    count, size = distinct.agg(F.count("value"), F.sum(F.octet_length(F.col("value").cast("string")))).first()
+    if count <= small and (size or 0) <= small_bytes:
         values = [r["value"] for r in distinct.orderBy("value").collect()]
         codes = df.sparkSession.createDataFrame(
             [(v, i) for i, v in enumerate(values)], f"value {data_type.simpleString()}, code bigint"
         )
         return F.broadcast(codes)  # its rows and bytes were checked
+    # kept as a table, so that the passes below do not read the whole input again
+    path = scratch_path(df.sparkSession, "labels")
+    distinct.write.parquet(path)
+    distinct = df.sparkSession.read.parquet(path)
     # any text can be a cut, so the start of a long one will do
     cut = F.substring("value", 1, 64) if isinstance(data_type, T.StringType) else F.col("value")
-    sample = distinct.orderBy(F.xxhash64("value"), "value").limit(RANGES - 1).select(cut.alias("cut")).collect()
+    ranges = min(MAX_RANGES, max(2, count // RANGE_VALUES))
+    sample = distinct.orderBy(F.xxhash64("value"), "value").limit(ranges - 1).select(cut.alias("cut")).collect()
     cuts = F.array(*[F.lit(c).cast(data_type) for c in sorted({r["cut"] for r in sample})])
     ranged = distinct.withColumn("cut", F.size(F.filter(cuts, lambda c: c <= F.col("value"))))
     sizes = {r["cut"]: r["count"] for r in ranged.groupBy("cut").count().collect()}
@@ -99,11 +107,6 @@ def label_codes(
     return ranged.select("value", (F.create_map(*offsets)[F.col("cut")] + place).cast("bigint").alias("code"))
 
 
-def _fits(distinct: DataFrame, rows: int, size: int) -> bool:
-    row = distinct.agg(F.count("value"), F.sum(F.octet_length(F.col("value").cast("string")))).first()
-    return row[0] <= rows and (row[1] or 0) <= size
-
-
 def apply_label_codes(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
     """Swap the column for its code; null and unseen values become null."""
     keyed = codes.select(F.col("value").alias(column), F.col("code").alias("__code"))

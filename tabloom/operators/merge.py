@@ -33,7 +33,7 @@ def merge(
 
     Columns keep the left order, then the right order; a right column whose name
     the left table already has gets the suffix ``_right``. ``hot_keys`` may name
-    the crowded keys of either side as ``{"left": [...], "right": [...]}``.
+    the crowded keys of either side as ``{"left": [...], "right": [...]}``, null included.
     """
     if join_type not in JOIN_TYPES:
         raise ValueError(f"unknown join type '{join_type}'; choose one of {JOIN_TYPES}")
@@ -71,7 +71,7 @@ def _suffix_collisions(left: DataFrame, right: DataFrame, key: str) -> DataFrame
 
 
 def find_hot_keys(left: DataFrame, right: DataFrame, key: str) -> dict[str, list[Any]]:
-    """Keys with about a million rows or more, by a sampled count.
+    """Keys with about a million rows or more, by a sampled count; null may be one.
 
     Only speed depends on what the sample sees. At most a thousand, the largest,
     are kept; the rest is left to the ordinary shuffle.
@@ -83,7 +83,6 @@ def find_hot_keys(left: DataFrame, right: DataFrame, key: str) -> dict[str, list
     rows = (
         keys[0]
         .unionByName(keys[1])
-        .filter("key IS NOT NULL")
         .groupBy("side", "key")
         .count()
         .filter(F.col("count") >= HOT_SAMPLED)
@@ -97,50 +96,54 @@ def find_hot_keys(left: DataFrame, right: DataFrame, key: str) -> dict[str, list
 def _salted(
     left: DataFrame, right: DataFrame, key: str, join_type: str, hot: dict[str, list[Any]], salts: int
 ) -> DataFrame:
-    hot_left, hot_right = _among(left, key, hot.get("left")), _among(left, key, hot.get("right"))
-    # bucket of a crowded row on its own side, all buckets for its partners
-    left_salted = _buckets(left, "__l", hot_left, salts, own=True)
-    left_salted = _buckets(left_salted, "__r", hot_right, salts, own=False)
-    right_salted = _buckets(right, "__r", hot_right, salts, own=True)
-    right_salted = _buckets(right_salted, "__l", hot_left, salts, own=False)
-
-    parts = left_salted.join(right_salted, on=[key, "__l", "__r"], how="inner").drop("__l", "__r")
-    if join_type in ("left", "outer"):
-        parts = parts.unionByName(
-            _without_partner(left, right, key, hot_left, salts), allowMissingColumns=True
-        )
-    if join_type in ("right", "outer"):
-        parts = parts.unionByName(
-            _without_partner(right, left, key, hot_right, salts), allowMissingColumns=True
-        )
-    return parts
-
-
-def _among(df: DataFrame, key: str, values: list[Any] | None) -> Column:
-    if not values:
-        return F.lit(False)
+    crowded_left, crowded_right = hot.get("left") or [], hot.get("right") or []
+    matching_left, matching_right = ([v for v in c if v is not None] for c in (crowded_left, crowded_right))
+    a = _repeat(_spread(left, key, crowded_left, "__l", salts), key, matching_right, "__r", salts)
+    b = _repeat(_spread(right, key, crowded_right, "__r", salts), key, matching_left, "__l", salts)
+
+    # the join itself can keep the unmatched rows of a side it does not repeat
+    kept = "inner"
+    if join_type in ("left", "outer") and not matching_right:
+        kept = "left"
+    elif join_type in ("right", "outer") and not matching_left:
+        kept = "right"
+    joined = a.join(b, on=[key, "__l", "__r"], how=kept).drop("__l", "__r")
+    if join_type in ("left", "outer") and kept != "left":
+        alone = _without_partner(left, right, key, matching_left, salts)
+        joined = joined.unionByName(alone, allowMissingColumns=True)
+    if join_type in ("right", "outer") and kept != "right":
+        alone = _without_partner(right, left, key, matching_right, salts)
+        joined = joined.unionByName(alone, allowMissingColumns=True)
+    return joined
+
+
+def _among(df: DataFrame, key: str, values: list[Any]) -> Column:
     data_type = field_type(df, key)
-    return F.coalesce(col(key).isin(*[F.lit(v).cast(data_type) for v in values]), F.lit(False))
+    known = [F.lit(v).cast(data_type) for v in values if v is not None]
+    found = F.coalesce(col(key).isin(*known), F.lit(False)) if known else F.lit(False)
+    return found | col(key).isNull() if None in values else found
 
 
-def _buckets(df: DataFrame, name: str, hot: Column, salts: int, own: bool) -> DataFrame:
-    if own:
-        return df.withColumn(name, F.when(hot, _spread(df, salts)).otherwise(F.lit(0)))
-    return df.withColumn(
-        name, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
-    )
-
-
-def _spread(df: DataFrame, salts: int) -> Column:
+def _spread(df: DataFrame, key: str, values: list[Any], name: str, salts: int) -> DataFrame:
+    """A bucket of its own for each row of a crowded key, bucket 0 for the others."""
     # a hash of the row, not a random number: a recomputed task salts alike
     hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    return F.pmod(F.xxhash64(*[col(c) for c in hashable]), F.lit(salts)).cast("int")
+    bucket = F.pmod(F.xxhash64(*[col(c) for c in hashable]), F.lit(salts)).cast("int")
+    return df.withColumn(name, F.when(_among(df, key, values), bucket).otherwise(F.lit(0)) if values else F.lit(0))
+
+
+def _repeat(df: DataFrame, key: str, values: list[Any], name: str, salts: int) -> DataFrame:
+    """The rows that meet a crowded key once per bucket, the others once."""
+    if not values:
+        return df.withColumn(name, F.lit(0))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    return df.withColumn(name, F.explode(F.when(_among(df, key, values), every).otherwise(F.array(F.lit(0)))))
 
 
-def _without_partner(df: DataFrame, other: DataFrame, key: str, hot: Column, salts: int) -> DataFrame:
+def _without_partner(df: DataFrame, other: DataFrame, key: str, crowded: list[Any], salts: int) -> DataFrame:
     # null keys have no partner by definition, so they skip the shuffle
-    keyed = _buckets(df.filter(col(key).isNotNull()), "__s", hot, salts, own=True)
-    partners = _buckets(other.select(col(key)).distinct(), "__s", hot, salts, own=False)
+    keyed = _spread(df.filter(col(key).isNotNull()), key, crowded, "__s", salts)
+    partners = _repeat(other.select(col(key)).distinct(), key, crowded, "__s", salts)
     alone = keyed.join(partners, on=[key, "__s"], how="left_anti").drop("__s")
     return alone.unionByName(df.filter(col(key).isNull()))
 
