@@ -200,7 +200,7 @@ _SQL_BOX = """q AS (SELECT quantile_cont(value, 0.25) AS q1, median(value) AS m,
     f"""WITH s AS (SELECT {sql_nulls('value', 'event_id', 7)} AS value FROM events), {_SQL_BOX}
         SELECT round(any_value(q1), 4) AS q1, round(any_value(m), 4) AS median, round(any_value(q3), 4) AS q3,
                min(value) FILTER (inside) AS whisker_low, max(value) FILTER (inside) AS whisker_high,
-               count_if(NOT inside) AS outliers FROM b, q""",
+               count(*) FILTER (NOT inside) AS outliers FROM b, q""",
 )
 def box_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(with_nulls("value", "event_id", 7).alias("value"))
@@ -313,8 +313,8 @@ def cross_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cross_tab_wide",
-    """SELECT o_orderpriority, count_if(o_orderstatus = 'F') AS "F", count_if(o_orderstatus = 'O') AS "O",
-              count_if(o_orderstatus = 'P') AS "P" FROM orders GROUP BY o_orderpriority""",
+    """SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'O') AS "O",
+              count(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY o_orderpriority""",
 )
 def cross_tab_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explore.cross_tab_wide(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])

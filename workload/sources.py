@@ -110,10 +110,10 @@ def lenient_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "cast_report",
     f"""SELECT 'o_orderkey' AS column_name, 'bigint' AS from_type, 'UInt16' AS to_type,
-               count_if(o_orderkey > 65535 OR o_orderkey < 0) AS uncastable FROM orders
-        UNION ALL SELECT 'token', 'string', 'Int64', count_if(TRY_CAST({_TOKENS} AS BIGINT) IS NULL) FROM orders
+               count(*) FILTER (o_orderkey > 65535 OR o_orderkey < 0) AS uncastable FROM orders
+        UNION ALL SELECT 'token', 'string', 'Int64', count(*) FILTER (TRY_CAST({_TOKENS} AS BIGINT) IS NULL) FROM orders
         UNION ALL SELECT 'o_orderstatus', 'string', 'Float64', count(*) FROM orders
-        UNION ALL SELECT 'o_totalprice', 'double', 'Int8', count_if(trunc(o_totalprice) > 127) FROM orders""",
+        UNION ALL SELECT 'o_totalprice', 'double', 'Int8', count(*) FILTER (trunc(o_totalprice) > 127) FROM orders""",
 )
 def cast_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").withColumn("token", F.expr(_TOKENS))

@@ -143,8 +143,8 @@ def has_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
                   UNION ALL SELECT 'c_mktsegment', c_mktsegment, 1, 0 FROM e
                   UNION ALL SELECT 'c_mktsegment', c_mktsegment, 0, 1 FROM customer),
             p AS (SELECT column_name, key, max(l) AS l, max(r) AS r FROM k GROUP BY ALL)
-       SELECT column_name, count_if(l = 1) AS left_keys, count_if(r = 1) AS right_keys,
-              count_if(l = 1 AND r = 1) AS matched_keys FROM p GROUP BY column_name""",
+       SELECT column_name, count(*) FILTER (l = 1) AS left_keys, count(*) FILTER (r = 1) AS right_keys,
+              count(*) FILTER (l = 1 AND r = 1) AS matched_keys FROM p GROUP BY column_name""",
 )
 def join_key_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(
