@@ -12,7 +12,7 @@ to which the same few pivots are added, so that groups of thousands of near copi
 by a number of pairs that grows with the group, not with its square; it is branched on only while
 it holds texts of different components. Pairs that may be similar are confirmed on the full sets,
 links become components, and the next depth looks only at nodes with several components, at every
-pair between them. The work ends when a depth finds no pair that has not been tested.
+pair between them. The work ends when no large node holds several components, or at ``DEPTH``.
 
 No task sees more than a block, apart from the texts of one pair; nothing is collected to the
 driver but counts; every step that others read is a table in the shared folder.
@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabloom.llm.common import as_long, table, text_or_empty, written
 
-TOKENS, TREES, BLOCK, PIVOTS, DEPTH = 64, 10, 64, 8, 6
+TOKENS, TREES, BLOCK, PIVOTS, DEPTH = 64, 6, 64, 8, 10
 #: Standard errors that a sketch's estimate may lie below the threshold.
 ERRORS = 3.5
 KEPT_WORDS = 400_000
@@ -49,7 +49,7 @@ def _seeds(n: int, salt: int) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_FLIP, _MULTIPLY = _seeds(TOKENS, 1)[:, None], (_seeds(TOKENS, 2) | _U(1))[:, None]
+_FLIP, _MULTIPLY = (x.astype(np.uint32)[:, None] for x in (_seeds(TOKENS, 1) >> _U(32), _seeds(TOKENS, 2) >> _U(32) | _U(1)))
 
 
 class _Words:
@@ -91,11 +91,11 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """The minwise tokens of a set, 32 bits each."""
-    least = np.full(TOKENS, ~_U(0))
-    for at in range(0, len(hashes), 4096):
-        part = (hashes[None, at : at + 4096] ^ _FLIP) * _MULTIPLY
+    least, short = np.full(TOKENS, 0xFFFFFFFF, np.uint32), (hashes >> _U(32)).astype(np.uint32)
+    for at in range(0, len(short), 512):
+        part = (short[None, at : at + 512] ^ _FLIP) * _MULTIPLY
         least = np.minimum(least, part.min(axis=1))
-    return (least >> _U(32)).astype(np.uint32)
+    return least
 
 
 def _measured(size: int):
@@ -237,7 +237,7 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
     # each tree's first token
     nodes = known.select("id", F.explode(F.array(*[_child(F.lit(t).cast("long"), F.col("tokens"), 0) for t in range(TREES)])).alias("node"))
     comps, links, tested, bodies = None, None, None, None
-    for depth in range(DEPTH + 1):
+    for depth in range(DEPTH):
         placed = nodes.distinct()
         if comps is None:
             placed = placed.withColumn("comp", F.col("id"))
@@ -259,33 +259,25 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        if bodies is None:  # pairs of any depth come from nodes that the first depth found active
+            want = texts.join(active.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi").select(F.col("node_id").alias("id"), "order", "h")
+            bodies = written(rows.select("key.order", "key.h", "text").join(want, ["order", "h"]).select("id", "text").dropDuplicates(["id"]), "texts")
         if pairs.limit(1).count():
-            want = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-            if bodies is not None:
-                want = want.join(bodies, "id", "left_anti")
-            found = (
-                rows.select("key.order", "key.h", "text")
-                .join(texts.join(want, F.col("node_id") == F.col("id")).select("id", "order", "h"), ["order", "h"])
-                .select("id", "text").dropDuplicates(["id"])
-            )
-            fresh = written(found, "texts")
-            bodies = fresh if bodies is None else bodies.union(fresh)
             met = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
             results = written(met.select("a", "b", "x", "y").mapInArrow(_confirmed(size, percent), "a long, b long, linked boolean"), "tested")
             tested = results.select("a", "b") if tested is None else tested.union(results.select("a", "b"))
             new = results.filter("linked").select("a", "b")
             links = new if links is None else links.union(new)
             comps = components(links)
-        elif depth and not large.limit(1).count():
+        if depth and not large.limit(1).count():
             break
-        # large nodes are branched; small ones stay, and show every pair between components once more
+        # large nodes are branched; small ones of the first depth, which showed the pairs that connect
+        # them, show every other pair between components at the next
         branched = large.join(known, "id").select("id", F.explode(F.array(
             _child(F.col("node"), F.col("tokens"), 1),
             F.when(F.pmod(F.xxhash64("node"), F.lit(100)) < round(100 * (1 / threshold - 1)), _child(F.col("node"), F.col("tokens"), 2)),
         )).alias("node")).filter("node IS NOT NULL")
-        nodes = active.filter(F.col("size") <= 2 * BLOCK).select("id", "node").union(branched)
-        if depth == DEPTH - 1:
-            nodes = active.select("id", "node")
+        nodes = branched if depth else active.filter(F.col("size") <= 2 * BLOCK).select("id", "node").union(branched)
     if comps is None:
         labelled = texts.select("digest", "order", "h", F.col("node_id").alias("comp"))
     else:
