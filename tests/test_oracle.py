@@ -6,8 +6,9 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import connect, differences
+from workload import registry
 
-ORACLE = contract.oracle_sql()
+ORACLE = dict(registry.ORACLE)
 WITHOUT_SQL = {
     "feature_matrix", "automl_classification", "automl_regression", "leaderboard", "stacked_ensemble", "predict",
     "feature_importance", "model_roundtrip",
@@ -15,8 +16,9 @@ WITHOUT_SQL = {
 
 
 def test_every_query_has_sql_or_is_a_model():
-    assert set(contract.queries()) - set(ORACLE) == WITHOUT_SQL
-    assert set(ORACLE) <= set(contract.queries())
+    assert set(registry.QUERIES) - set(ORACLE) == WITHOUT_SQL
+    assert set(ORACLE) <= set(registry.QUERIES) <= set(contract.queries())
+    assert ORACLE.items() <= contract.oracle_sql().items()
 
 
 @pytest.fixture(scope="module")
