@@ -137,10 +137,10 @@ def _rows(a: list[int], b: list[int], start: int = 0) -> Iterator[int]:
         yield row
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
+def shared(a: list, b: list) -> set[int]:
     """Places in ``a`` of one longest common subsequence of ``a`` and ``b``. Time grows with
     the product of the lengths over the machine's word; memory is bounded by halving."""
-    number: dict[str, int] = {}
+    number: dict = {}
     x, y = [number.setdefault(t, len(number)) for t in a], [number.setdefault(t, len(number)) for t in b]
     out: set[int] = set()
     work = [(0, len(x), 0, len(y))]
@@ -186,8 +186,8 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[str], marks: list[int], partner: list[str] | None) -> str:
-    both = shared(lines, partner) if partner else set()
+def main_text(lines: list[str], marks: list[int], prints: list[int], partner: list[int] | None) -> str:
+    both = shared(prints, partner) if partner else set()
     marked = ARTICLE in marks
     return "\n".join(t for i, (t, m) in enumerate(zip(lines, marks)) if m == ARTICLE or (m == PLAIN and not marked and i not in both))
 
@@ -202,37 +202,36 @@ def _common(a: list[str], b: list[str]) -> int:
 def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for row in batch.select(["path", "lines", "marks", "near"]).to_pylist():
+        for row in batch.select(["path", "lines", "marks", "prints", "near"]).to_pylist():
             best, partner = -1, None
             for near in row["near"]:
-                if near["lines"] != row["lines"] and _common(near["path"], row["path"]) > best:
-                    best, partner = _common(near["path"], row["path"]), near["lines"]
-            texts.append(main_text(row["lines"], row["marks"], partner))
+                if near["prints"] != row["prints"] and _common(near["path"], row["path"]) > best:
+                    best, partner = _common(near["path"], row["path"]), near["prints"]
+            texts.append(main_text(row["lines"], row["marks"], row["prints"], partner))
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "text"])
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(key, url, text, n_chars)`` for every page."""
     rows = pages.select(F.struct(as_long(key).alias("key"), F.col(f"`{url}`").cast("string").alias("url")).alias("key"), F.col(f"`{html}`").cast("string").alias("html"))
-    keys = ["host", "path", "key", "lines"]
-    ordered = rows.mapInArrow(_parsed, LINES).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    keys = ["host", "path", "key", "prints"]
+    # lines meet the neighbours' as 64-bit hashes; the text itself stays with its page
+    parsed = rows.mapInArrow(_parsed, LINES).withColumn("prints", F.transform("lines", lambda x: F.xxhash64(x)))
+    ordered = parsed.repartitionByRange(*keys).sortWithinPartitions(*keys)
     # the written order numbers the pages: ranges by part, rows by their place in it
     kept = written(ordered.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()), "page-lines")
     sizes = kept.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     placed = kept.join(offsets, "part").withColumn("id", F.col("id") + F.col("shift")).drop("part", "shift")
-    # each page goes to its own number and, as a neighbour, to the numbers before and after
-    own = F.struct(F.lit(0).alias("by"), F.lit(0).cast("long").alias("to"))
-    sent = placed.select("*", F.explode(F.array(own, F.struct(F.lit(1).alias("by"), F.lit(1).cast("long").alias("to")), F.struct(F.lit(2).alias("by"), F.lit(-1).cast("long").alias("to")))).alias("s"))
-    near = F.struct("host", "path", "lines")
-    met = sent.groupBy((F.col("id") + F.col("s.to")).alias("id")).agg(
-        *[F.first(F.when(F.col("s.by") == 0, F.col(c)), ignorenulls=True).alias(c) for c in ("key", "host", "path", "lines", "marks")],
-        F.first(F.when(F.col("s.by") == 1, near), ignorenulls=True).alias("before"),
-        F.first(F.when(F.col("s.by") == 2, near), ignorenulls=True).alias("after"),
-    ).filter(F.col("key").isNotNull())
+    # and each page is a neighbour of the numbers before and after
+    sent = placed.select("id", F.struct("host", "path", "prints").alias("near"))
+    met = (
+        placed.join(sent.select((F.col("id") + 1).alias("id"), F.col("near").alias("before")), "id", "left")
+        .join(sent.select((F.col("id") - 1).alias("id"), F.col("near").alias("after")), "id", "left")
+    )
     same_host = F.filter(F.array("before", "after"), lambda x: x.isNotNull() & (x["host"] == F.col("host")) & (F.col("host") != ""))
-    done = met.select("key", "path", "lines", "marks", same_host.alias("near")).mapInArrow(_extracted, "key struct<key:bigint,url:string>, text string")
+    done = met.select("key", "path", "lines", "marks", "prints", same_host.alias("near")).mapInArrow(_extracted, "key struct<key:bigint,url:string>, text string")
     return done.select("key.*", "text", F.length("text").cast("long").alias("n_chars"))
 
 
