@@ -15,7 +15,7 @@ import re
 import numpy as np
 
 #: Words kept by a task; the table starts anew when it has outgrown this between batches.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 
 
 def needs_split(path: str) -> None:
@@ -35,6 +35,10 @@ class WordPieces:
         from tokenizers import Tokenizer
 
         needs_split(path)
+        spec = json.load(open(path, encoding="utf-8"))
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        # whether a word of ASCII letters is its own pre-token once it is in lower case
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]] == ["Split", "ByteLevel"]
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -48,19 +52,54 @@ class WordPieces:
         self.used = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                ids = got.ids
-                k = len(self.number)
-                if k >= len(self.start):
-                    self.start, self.length = np.resize(self.start, 2 * k), np.resize(self.length, 2 * k)
-                if self.used + len(ids) > len(self.pool):
-                    self.pool = np.resize(self.pool, max(2 * len(self.pool), self.used + len(ids)))
-                self.number[word] = k
-                self.start[k], self.length[k] = self.used, len(ids)
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+        """ASCII letters, with a mark of punctuation at most, are lower-cased and go to the model
+        itself: they are one pre-token, or two. All other words take the tokenizer's whole way."""
+        rest = []
+        model = self.tokenizer.model
+        for word in words:
+            base, mark = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
+            if not self.plain or not (base.isalpha() and base.isascii()):
+                rest.append(word)
+                continue
+            low = base.lower()
+            if low not in self.number:
+                got = [t.id for t in model.tokenize(low.decode())]
+                self._add([low], [len(got)], got)
+            if word not in self.number:
+                k = self.number[low]
+                ids = self.pool[self.start[k] : self.start[k] + self.length[k]].tolist()
+                ids += [t.id for t in model.tokenize(mark.decode())] if mark else []
+                self._add([word], [len(ids)], ids)
+        self._learn_whole(rest)
+
+    def _add(self, words: list[bytes], counts, ids) -> None:
+        k, n = len(self.number), len(words)
+        while k + n > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.resize(self.pool, 2 * len(self.pool))
+        self.number.update(zip(words, range(k, k + n)))
+        self.length[k : k + n] = counts
+        self.start[k : k + n] = self.used + np.cumsum(counts) - counts
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def _learn_whole(self, words: list[bytes]) -> None:
+        """Words are encoded many at a time, parted by blanks; the pieces' offsets tell whose they are."""
+        for i in range(0, len(words), 2048):
+            part = words[i : i + 2048]
+            texts = [w.decode("utf-8", "replace") for w in part]
+            got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            starts = np.cumsum(sizes + 1) - sizes - 1
+            spans = np.array(got.offsets, np.int64).reshape(-1, 2)
+            ids, owner = np.array(got.ids, np.uint32), np.searchsorted(starts, spans[:, 0], "right") - 1
+            if len(ids) and ((spans[:, 1] > (starts + sizes)[owner]).any() or (owner[1:] < owner[:-1]).any()):
+                each = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+                ids, counts = np.array([x for e in each for x in e], np.uint32), np.array([len(e) for e in each], np.int64)
+            else:
+                counts = np.bincount(owner, minlength=len(part)) if len(ids) else np.zeros(len(part), np.int64)
+            self._add(part, counts, ids)
 
     def numbers(self, text: bytes) -> np.ndarray:
         """The words of a text as numbers into ``start`` and ``length``."""
