@@ -54,22 +54,23 @@ class WordPieces:
     def _learn(self, words: list[bytes]) -> None:
         """ASCII letters, with a mark of punctuation at most, are lower-cased and go to the model
         itself: they are one pre-token, or two. All other words take the tokenizer's whole way."""
-        rest = []
-        model = self.tokenizer.model
+        rest, fresh, model = [], {}, self.tokenizer.model
         for word in words:
             base, mark = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
             if not self.plain or not (base.isalpha() and base.isascii()):
                 rest.append(word)
                 continue
             low = base.lower()
-            if low not in self.number:
-                got = [t.id for t in model.tokenize(low.decode())]
-                self._add([low], [len(got)], got)
-            if word not in self.number:
-                k = self.number[low]
-                ids = self.pool[self.start[k] : self.start[k] + self.length[k]].tolist()
-                ids += [t.id for t in model.tokenize(mark.decode())] if mark else []
-                self._add([word], [len(ids)], ids)
+            ids = fresh.get(low)
+            if ids is None:
+                k = self.number.get(low)
+                if k is None:
+                    ids = fresh[low] = [t.id for t in model.tokenize(low.decode())]
+                else:
+                    ids = self.pool[self.start[k] : self.start[k] + self.length[k]].tolist()
+            if word != low:
+                fresh[word] = ids + [t.id for t in model.tokenize(mark.decode())] if mark else ids
+        self._add(list(fresh), [len(x) for x in fresh.values()], [x for ids in fresh.values() for x in ids])
         self._learn_whole(rest)
 
     def _add(self, words: list[bytes], counts, ids) -> None:
