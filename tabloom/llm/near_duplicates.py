@@ -1,7 +1,8 @@
 """Near-duplicates by a chosen-path set similarity join.
 
-A document is its set of word shingles; documents with equal sets are one *text*. Each text has a
-sketch of minwise tokens. Every tree sorts the texts by one token into nodes; a node that is still
+A document is its set of word shingles; documents with equal sets are one *text*. Each text has
+minwise tokens: a whole one for each tree, a byte of each that paths branch by, two bits of each
+that a longer sketch compares. Every tree sorts the texts by one token into nodes; a node that is still
 large is branched again by tokens that its own path selects, each of which two similar texts share
 with the probability of their similarity. With on average 1 / threshold branches a node, a similar
 pair is expected to stay together in about one node at any depth, and independent trees make up for
@@ -10,7 +11,8 @@ the pairs that a tree parts.
 Small nodes are compared exhaustively by sketch. A node that is large is cut into blocks of texts
 to which the same few pivots are added, so that groups of thousands of near copies become connected
 by a number of pairs that grows with the group, not with its square; it is branched on only while
-it holds texts of different components. Pairs that may be similar are confirmed on the full sets,
+it holds texts of different components. A large node that one component fills but for a few texts
+is compared exhaustively as well: these texts go to every block. Pairs that may be similar are confirmed on the full sets,
 links become components, and the next depth looks only at nodes with several components, at every
 pair between them. The work ends when no large node holds several components, or at ``DEPTH``.
 
@@ -32,9 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tabloom.llm.common import as_long, table, text_or_empty, written
+from tabloom.llm.common import as_long, bucketed, table, text_or_empty, written
 
-TOKENS, TREES, BLOCK, PIVOTS, DEPTH = 64, 6, 64, 8, 10
+TREES, BLOCK, PIVOTS, DEPTH = 6, 64, 8, 10
+#: Minwise tokens of a set, and how many of them choose paths.
+TOKENS, PATHS = 512, 64
 #: Standard errors that a sketch's estimate may lie below the threshold.
 ERRORS = 3.5
 KEPT_WORDS = 400_000
@@ -89,41 +93,52 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return np.unique(out ^ (out >> _U(29)))
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """The minwise tokens of a set, 32 bits each."""
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
+    """The first token of each tree, a byte of each token of ``PATHS``, two bits of every token."""
     least, short = np.full(TOKENS, 0xFFFFFFFF, np.uint32), (hashes >> _U(32)).astype(np.uint32)
-    for at in range(0, len(short), 512):
-        part = (short[None, at : at + 512] ^ _FLIP) * _MULTIPLY
-        least = np.minimum(least, part.min(axis=1))
-    return least
+    for at in range(0, len(short), 128):
+        part = short[None, at : at + 128] ^ _FLIP
+        part *= _MULTIPLY
+        np.minimum(least, part.min(axis=1), out=least)
+    low = (least >> np.uint32(4)).astype(np.uint8)
+    two = (low & 3).reshape(-1, 4)
+    return least[:TREES].astype(np.int32), low[:PATHS].tobytes(), (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
+
+
+def agreement(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """In how many tokens rows of packed sketches agree with one."""
+    differ = sketches ^ one
+    return TOKENS - np.bitwise_count((differ | differ >> _U(1)) & _U(0x5555555555555555)).sum(axis=1, dtype=np.int64)
 
 
 def _measured(size: int):
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, digests, sketches = [], [], []
+            counts, digests, sketches = [], [], ([], [], [])
             for text in batch.column(1):
                 hashes = shingles(text.as_buffer().to_pybytes(), size)
                 counts.append(len(hashes))
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
-                sketches.append(sketch(hashes).astype(np.int32) if len(hashes) else None)
+                for held, part in zip(sketches, sketch(hashes) if len(hashes) else (None, None, None)):
+                    held.append(part)
+            types = [pa.list_(pa.int32()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.list_(pa.int32()))],
-                ["key", "n", "digest", "tokens"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), *map(pa.array, sketches, types)],
+                ["key", "n", "digest", "starts", "paths", "bits"],
             )
 
     return measure
 
 
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of one (node, block) after another: ids, components, sketches."""
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows of one (node, block) after another: ids, components, set sizes, sketches."""
     held: list[tuple] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        node, block, ids, comps = (batch.column(i).to_numpy() for i in range(4))
-        tokens = batch.column(4).flatten().to_numpy().reshape(-1, TOKENS)
+        node, block, ids, comps, counts = (batch.column(i).to_numpy() for i in range(5))
+        bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), _U).reshape(len(ids), -1)
         cuts = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
         for a, b in zip([0, *cuts], [*cuts, len(node)]):
             here = (node[a], block[a])
@@ -131,24 +146,26 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
                 yield tuple(np.concatenate(x) for x in zip(*held))
                 held = []
             last = here
-            held.append((ids[a:b], comps[a:b], tokens[a:b]))
+            held.append((ids[a:b], comps[a:b], counts[a:b], bits[a:b]))
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
-def _alike(least: float, spanning: bool):
-    """Pairs of a group between different components whose sketches agree in a share of at least
-    ``least`` tokens. ``spanning``: only those that connect the group, the most alike first."""
+def _alike(least: float, percent: int, spanning: bool):
+    """Pairs of a group between different components whose sketches agree in at least ``least``
+    tokens and whose sizes allow the similarity. ``spanning``: only those that connect the group,
+    the most alike first."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = [], []
-        for ids, comps, tokens in _groups(batches):
+        names, found = ["a", "b", "ca", "cb"], []
+        for ids, comps, counts, bits in _groups(batches):
             ids, first = np.unique(ids, return_index=True)
-            comps, tokens = comps[first], tokens[first]
+            comps, counts, bits = comps[first], counts[first], bits[first]
             if len(ids) < 2:
                 continue
-            agree = np.stack([(tokens == t).sum(axis=1) for t in tokens])
-            a, b = np.nonzero(np.triu(agree >= least * TOKENS, 1) & (comps[:, None] != comps[None, :]))
+            agree = np.stack([agreement(bits, x) for x in bits])
+            fits = 100 * np.minimum.outer(counts, counts) >= percent * np.maximum.outer(counts, counts)
+            a, b = np.nonzero(np.triu(agree >= least, 1) & (comps[:, None] != comps[None, :]) & fits)
             if spanning and len(a) > 1:
                 order = np.argsort(-agree[a, b], kind="stable")
                 parent = list(range(len(ids)))
@@ -163,13 +180,12 @@ def _alike(least: float, spanning: bool):
                         parent[max(x, y)] = min(x, y)
                         keep.append(e)
                 a, b = a[keep], b[keep]
-            left.append(ids[a])
-            right.append(ids[b])
-            if sum(map(len, left)) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
-                left, right = [], []
-        if left:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+            found.append((ids[a], ids[b], comps[a], comps[b]))
+            if sum(len(x[0]) for x in found) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names)
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names)
 
     return compare
 
@@ -179,13 +195,13 @@ def _confirmed(size: int, percent: int):
         for batch in batches:
             linked = []
             last, one = None, None
-            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+            for a, x, y in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5)):
                 if a != last:
                     last, one = a, shingles(x.as_buffer().to_pybytes(), size)
                 other = shingles(y.as_buffer().to_pybytes(), size)
                 both = len(np.intersect1d(one, other, assume_unique=True))
                 linked.append(100 * both >= percent * (len(one) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(linked, pa.bool_())], ["a", "b", "ca", "cb", "linked"])
 
     return confirm
 
@@ -205,85 +221,98 @@ def components(links: DataFrame) -> DataFrame:
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("u", F.col("m").alias("v"))).filter(F.col("u") != F.col("v")).distinct()
         after = written(small, "links")
         # stars everywhere: every id points to one that points nowhere
-        crowded = after.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-        chained = after.join(after.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
+        ends = after.select("u", F.lit(1).alias("out")).union(after.select(F.col("v").alias("u"), F.lit(0).alias("out")))
+        ends = ends.groupBy("u").agg(F.sum("out").alias("outs"), F.min("out").alias("met"))
         edges = after
-        if not crowded and not chained:
+        if ends.filter("outs > 1 OR (outs = 1 AND met = 0)").isEmpty():
             return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 
-def _child(node: Column, tokens: Column, branch: int) -> Column:
+def _child(node: Column, paths: Column, branch: int) -> Column:
     """The node below ``node`` for one of the tokens that the node selects."""
-    which = F.pmod(F.xxhash64(node, F.lit(branch)), F.lit(TOKENS)).cast("int")
-    return F.xxhash64(node, which, F.get(tokens, which))
+    which = F.pmod(F.xxhash64(node, F.lit(branch)), F.lit(PATHS)).cast("int")
+    return F.xxhash64(node, which, F.substring(paths, which + 1, F.lit(1)))
 
 
 def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows ``(id, order, h, n, digest)``, and for each digest the first ``(order, h)`` of its component."""
     threshold = percent / 100
-    least = threshold - ERRORS * (threshold * (1 - threshold) / TOKENS) ** 0.5
+    share = threshold + (1 - threshold) / 4  # two bits agree by chance too
+    least = TOKENS * (share - ERRORS * (share * (1 - share) / TOKENS) ** 0.5)
     rows = docs.select(
         F.struct(as_long(key).alias("id"), F.coalesce(as_long(key), F.lit(NO_ID)).alias("order"), F.xxhash64(text_or_empty(text)).alias("h")).alias("key"),
         F.encode(text_or_empty(text), "utf-8").alias("text"),
     )
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, n long, digest binary, tokens array<int>"
-    sets = written(rows.mapInArrow(_measured(size), schema).select("key.*", "n", "digest", "tokens"), "shingle-sets")
+    schema = f"key {rows.schema['key'].dataType.simpleString()}, n long, digest binary, starts array<int>, paths binary, bits binary"
+    sets = written(rows.mapInArrow(_measured(size), schema).select("key.*", "n", "digest", "starts", "paths", "bits"), "shingle-sets")
     texts = written(
-        sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct("order", "h", "tokens")).alias("first")).select("digest", "first.*")
+        sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct("order", "h", "n", "starts", "paths", "bits")).alias("first")).select("digest", "first.*")
         .withColumn("node_id", F.monotonically_increasing_id()),
         "distinct-sets",
     )
-    known = texts.select(F.col("node_id").alias("id"), "tokens")
+    known = texts.select(F.col("node_id").alias("id"), F.col("n").alias("count"), "bits")
+    ways = texts.select(F.col("node_id").alias("id"), "paths")
     # each tree's first token
-    nodes = known.select("id", F.explode(F.array(*[_child(F.lit(t).cast("long"), F.col("tokens"), 0) for t in range(TREES)])).alias("node"))
-    comps, links, tested, bodies = None, None, None, None
+    nodes = texts.select(F.col("node_id").alias("id"), F.explode(F.array(*[F.xxhash64(F.lit(t), F.get("starts", F.lit(t))) for t in range(TREES)])).alias("node"))
+    comps, tested, bodies = None, None, None
     for depth in range(DEPTH):
-        placed = nodes.distinct()
+        # of every node: its size, its largest component and how many texts that has
         if comps is None:
-            placed = placed.withColumn("comp", F.col("id"))
+            placed = nodes.withColumn("comp", F.col("id"))
+            sizes = placed.groupBy("node").agg(F.count("*").alias("size"), F.lit(1).cast("long").alias("most"), F.min("comp").alias("main"))
         else:
-            placed = placed.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        sizes = placed.groupBy("node").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-        active = written(placed.join(sizes.filter("low < high").select("node", "size"), "node"), "nodes")
+            placed = nodes.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            parts = placed.groupBy("node", "comp").agg(F.count("*").alias("of_comp"))
+            sizes = parts.groupBy("node").agg(F.sum("of_comp").alias("size"), F.max(F.struct("of_comp", "comp")).alias("top")).select("node", "size", F.col("top.of_comp").alias("most"), F.col("top.comp").alias("main"))
+        active = written(placed.join(sizes.filter("size > most"), "node"), "nodes")
         blocks = F.when(F.col("size") > 2 * BLOCK, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("long")
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK).cast("long") - 1)).alias("block")
         members = active.select("node", F.pmod(F.xxhash64("id", F.lit(depth)), blocks).alias("block"), "id", "comp")
-        # pivots of a large node come from its smallest components, another set at each depth
-        large = active.filter(F.col("size") > 2 * BLOCK)
+        # the few texts outside the component that fills a node meet all of its blocks
+        few = F.col("size") - F.col("most") <= 2 * BLOCK
+        apart = active.filter((F.col("size") > 2 * BLOCK) & few & (F.col("comp") != F.col("main"))).select("node", every, "id", "comp")
+        # pivots of another large node come from its smallest components, another set at each depth
+        large = active.filter((F.col("size") > 2 * BLOCK) & ~few)
         share = large.groupBy("node", "comp").agg(F.count("*").alias("of_comp"))
         rank = F.struct("of_comp", F.xxhash64("id", F.lit(depth + 1)).alias("by"), "id", "comp", "size")
         chosen = large.join(share, ["node", "comp"]).groupBy("node", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("slot")).agg(F.min(rank).alias("p"))
-        pivots = chosen.select("node", F.explode(F.sequence(F.lit(0).cast("long"), (F.ceil(F.col("p.size") / BLOCK) - 1).cast("long"))).alias("block"), "p.id", "p.comp")
-        grouped = members.union(pivots).join(known, "id").select("node", "block", "id", "comp", "tokens")
+        pivots = chosen.select("node", "p.id", "p.comp", "p.size").select("node", every, "id", "comp")
+        grouped = members.union(apart).union(pivots).join(known, "id").select("node", "block", "id", "comp", "count", "bits")
         dealt = grouped.repartition("node", "block").sortWithinPartitions("node", "block")
-        pairs = dealt.mapInArrow(_alike(least, depth == 0), "a long, b long").distinct()
+        pairs = dealt.mapInArrow(_alike(least, percent, depth == 0), "a long, b long, ca long, cb long").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         if bodies is None:  # pairs of any depth come from nodes that the first depth found active
             want = texts.join(active.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi").select(F.col("node_id").alias("id"), "order", "h")
-            bodies = written(rows.select("key.order", "key.h", "text").join(want, ["order", "h"]).select("id", "text").dropDuplicates(["id"]), "texts")
-        if pairs.limit(1).count():
+            bodies = bucketed(rows.select("key.order", "key.h", "text").join(want, ["order", "h"]).dropDuplicates(["order", "h"]).select("id", "text"), "texts", "id")
+        if not pairs.isEmpty():
             met = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-            results = written(met.select("a", "b", "x", "y").mapInArrow(_confirmed(size, percent), "a long, b long, linked boolean"), "tested")
+            results = written(met.select("a", "b", "ca", "cb", "x", "y").mapInArrow(_confirmed(size, percent), "a long, b long, ca long, cb long, linked boolean"), "tested")
             tested = results.select("a", "b") if tested is None else tested.union(results.select("a", "b"))
-            new = results.filter("linked").select("a", "b")
-            links = new if links is None else links.union(new)
-            comps = components(links)
-        if depth and not large.limit(1).count():
+            # links between components so far make larger ones of them
+            new = results.filter("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+            if not new.isEmpty():
+                merged = components(new)
+                if comps is not None:
+                    moved = comps.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+                    merged = written(moved.union(merged), "components")
+                comps = merged
+        if depth and large.isEmpty():
             break
         # large nodes are branched; small ones of the first depth, which showed the pairs that connect
         # them, show every other pair between components at the next
-        branched = large.join(known, "id").select("id", F.explode(F.array(
-            _child(F.col("node"), F.col("tokens"), 1),
-            F.when(F.pmod(F.xxhash64("node"), F.lit(100)) < round(100 * (1 / threshold - 1)), _child(F.col("node"), F.col("tokens"), 2)),
-        )).alias("node")).filter("node IS NOT NULL")
-        nodes = branched if depth else active.filter(F.col("size") <= 2 * BLOCK).select("id", "node").union(branched)
+        branched = large.join(ways, "id").select("id", F.explode(F.array_distinct(F.array(
+            _child(F.col("node"), F.col("paths"), 1),
+            F.when(F.pmod(F.xxhash64("node"), F.lit(100)) < round(100 * (1 / threshold - 1)), _child(F.col("node"), F.col("paths"), 2)),
+        ))).alias("node")).filter("node IS NOT NULL")
+        nodes = written(branched if depth else active.filter(F.col("size") <= 2 * BLOCK).select("id", "node").union(branched), "branches")
     if comps is None:
         labelled = texts.select("digest", "order", "h", F.col("node_id").alias("comp"))
     else:
         labelled = texts.join(comps, F.col("node_id") == F.col("id"), "left").select("digest", "order", "h", F.coalesce("comp", "node_id").alias("comp"))
     lowest = labelled.groupBy("comp").agg(F.min(F.struct("order", "h")).alias("first"))
-    return sets.drop("tokens"), written(labelled.join(lowest, "comp").select("digest", "first"), "components")
+    return sets.drop("starts", "paths", "bits"), written(labelled.join(lowest, "comp").select("digest", "first"), "components")
 
 
 def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80) -> DataFrame:
