@@ -131,14 +131,16 @@ def _measured(size: int):
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows of one (node, block) after another: ids, components, set sizes, sketches."""
+    """Rows of one (node, block) after another: ids, components, whether they are in the block for
+    others to be met and paired among themselves elsewhere, set sizes, sketches."""
     held: list[tuple] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         node, block, ids, comps, counts = (batch.column(i).to_numpy() for i in range(5))
-        bits = np.frombuffer(b"".join(batch.column(5).to_pylist()), _U).reshape(len(ids), -1)
+        again = batch.column(5).to_numpy(zero_copy_only=False)
+        bits = np.frombuffer(b"".join(batch.column(6).to_pylist()), _U).reshape(len(ids), -1)
         cuts = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
         for a, b in zip([0, *cuts], [*cuts, len(node)]):
             here = (node[a], block[a])
@@ -146,7 +148,7 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
                 yield tuple(np.concatenate(x) for x in zip(*held))
                 held = []
             last = here
-            held.append((ids[a:b], comps[a:b], counts[a:b], bits[a:b]))
+            held.append((ids[a:b], comps[a:b], again[a:b], counts[a:b], bits[a:b]))
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held))
 
@@ -158,14 +160,15 @@ def _alike(least: float, percent: int, spanning: bool):
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, found = ["a", "b", "ca", "cb"], []
-        for ids, comps, counts, bits in _groups(batches):
+        for ids, comps, again, counts, bits in _groups(batches):
             ids, first = np.unique(ids, return_index=True)
-            comps, counts, bits = comps[first], counts[first], bits[first]
+            comps, again, counts, bits = comps[first], again[first], counts[first], bits[first]
             if len(ids) < 2:
                 continue
             agree = np.stack([agreement(bits, x) for x in bits])
             fits = 100 * np.minimum.outer(counts, counts) >= percent * np.maximum.outer(counts, counts)
-            a, b = np.nonzero(np.triu(agree >= least, 1) & (comps[:, None] != comps[None, :]) & fits)
+            told = again[:, None] & again[None, :]
+            a, b = np.nonzero(np.triu(agree >= least, 1) & (comps[:, None] != comps[None, :]) & fits & ~told)
             if spanning and len(a) > 1:
                 order = np.argsort(-agree[a, b], kind="stable")
                 parent = list(range(len(ids)))
@@ -267,17 +270,20 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
         active = written(placed.join(sizes.filter("size > most"), "node"), "nodes")
         blocks = F.when(F.col("size") > 2 * BLOCK, F.ceil(F.col("size") / BLOCK)).otherwise(1).cast("long")
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / BLOCK).cast("long") - 1)).alias("block")
-        members = active.select("node", F.pmod(F.xxhash64("id", F.lit(depth)), blocks).alias("block"), "id", "comp")
         # the few texts outside the component that fills a node meet all of its blocks
         few = F.col("size") - F.col("most") <= 2 * BLOCK
-        apart = active.filter((F.col("size") > 2 * BLOCK) & few & (F.col("comp") != F.col("main"))).select("node", every, "id", "comp")
+        outside = (F.col("size") > 2 * BLOCK) & few & (F.col("comp") != F.col("main"))
+        apart = active.filter(outside).select("node", every, "id", "comp")
+        members = active.filter(~outside).select("node", F.pmod(F.xxhash64("id", F.lit(depth)), blocks).alias("block"), "id", "comp")
         # pivots of another large node come from its smallest components, another set at each depth
         large = active.filter((F.col("size") > 2 * BLOCK) & ~few)
         share = large.groupBy("node", "comp").agg(F.count("*").alias("of_comp"))
         rank = F.struct("of_comp", F.xxhash64("id", F.lit(depth + 1)).alias("by"), "id", "comp", "size")
         chosen = large.join(share, ["node", "comp"]).groupBy("node", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("slot")).agg(F.min(rank).alias("p"))
         pivots = chosen.select("node", "p.id", "p.comp", "p.size").select("node", every, "id", "comp")
-        grouped = members.union(apart).union(pivots).join(known, "id").select("node", "block", "id", "comp", "count", "bits")
+        # those in every block are paired among themselves in the first
+        added = apart.union(pivots).withColumn("again", F.col("block") > 0)
+        grouped = members.withColumn("again", F.lit(False)).union(added).join(known, "id").select("node", "block", "id", "comp", "count", "again", "bits")
         dealt = grouped.repartition("node", "block").sortWithinPartitions("node", "block")
         pairs = dealt.mapInArrow(_alike(least, percent, depth == 0), "a long, b long, ca long, cb long").distinct()
         if tested is not None:
