@@ -24,9 +24,13 @@ LOOKS_LIKE = {
 }
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Every column as text; a blank header becomes ``_c<position>``."""
-    return spark.read.csv(path, header=True, inferSchema=False)
+def read_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Every column as text; a blank header becomes ``_c<position>``.
+
+    Without ``multi_line`` a line break ends a row even inside quotes; then large files are split
+    among tasks, while with it a file is read by one task.
+    """
+    return spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multi_line)
 
 
 def split_tokens(text: str) -> list[str]:

@@ -117,3 +117,12 @@ def test_split_is_stable_and_disjoint(spark):
     assert parts["train"].join(parts["test"], "id").count() == 0
     folds = {r[0] for r in df.select(split.fold("id", 3)).distinct().collect()}
     assert folds == {0, 1, 2} and df.select(uniform(df["id"], 1).alias("u")).filter("u < 0 OR u >= 1").count() == 0
+
+
+def test_csv_cells_with_quotes_blanks_and_newlines_come_back(spark, tmp_path):
+    from tabloom.sources.csv import read_text
+    from tabloom.sources.tables import write_csv
+
+    cells = ["  lead", "trail  ", 'say "hi", ok', "two\nlines", "back\\slash", None]
+    path = write_csv(spark.createDataFrame([(str(i), c) for i, c in enumerate(cells)], "k string, v string").coalesce(1), f"{tmp_path}/cells")
+    assert [r.v for r in read_text(spark, path).orderBy("k").collect()] == cells
