@@ -34,7 +34,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 def csv_folder(spark: SparkSession, folder: str) -> DataFrame:
     """All CSV files below a folder as one text table, with ``file_name`` per row."""
     return (
-        spark.read.csv(folder, header=True, pathGlobFilter="*.csv")
+        spark.read.csv(folder, header=True, pathGlobFilter="*.csv", escape='"', multiLine=True)
         .withColumn("file_name", F.col("_metadata.file_name"))
     )
 
