@@ -41,13 +41,18 @@ def version_from_base(
 ) -> DataFrame:
     """Rows of a new version: the base's steps, then the added ones.
 
-    Ids move past every id in the log and keep their order, which needs the
-    largest id only, not a numbering of the rows.
+    Ids move right behind the largest id of the log and keep their distances, which
+    needs the ends of each part, not a numbering of the rows. A fork takes as many
+    ids as its parts span, so ids grow by the same step with each fork.
     """
-    last = steps.agg(F.max("id")).first()[0] or 0
-    parts = step_log(steps, base_version).withColumn("id", F.col("id") + F.lit(last))
+    of_base = F.when(F.col("version_id") == base_version, F.col("id"))
+    last, first, final = steps.agg(F.max("id"), F.min(of_base), F.max(of_base)).first()
+    following = (last or 0) + 1
+    parts = step_log(steps, base_version).withColumn("id", F.col("id") + F.lit(following - (first or 0)))
     if added is not None:
-        parts = parts.unionByName(added.withColumn("id", F.col("id") + F.lit(2 * last)))
+        following += 0 if first is None else final - first + 1
+        start = added.agg(F.min("id")).first()[0] or 0
+        parts = parts.unionByName(added.withColumn("id", F.col("id") + F.lit(following - start)))
     return parts.select(
         F.col("id").cast("bigint").alias("id"),
         F.lit(new_version).cast("bigint").alias("version_id"),

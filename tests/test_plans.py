@@ -163,3 +163,15 @@ def test_fitted_recipe_on_a_stream(spark, sales):
         sales.write.mode("append").parquet(source)
         replay_new_files(spark, source, sales.schema, fitted, target, checkpoint).awaitTermination(120)
     assert rows(spark.read.parquet(target)) == rows(fitted.apply(sales).unionByName(fitted.apply(sales)))
+
+
+def test_ids_of_forks_grow_by_one_step(spark):
+    log = versions.logged(UNFITTED, 1, spark)
+    largest = len(UNFITTED)
+    for version in range(2, 102):
+        fork = versions.version_from_base(log, version - 1, version)
+        steps = [tuple(r) for r in fork.orderBy("id").collect()]
+        largest += len(UNFITTED)
+        assert steps[-1][0] == largest and len(steps) == len(UNFITTED)
+        log = spark.createDataFrame(steps, versions.STEP_SCHEMA)
+    assert versions.load_steps(log, 101) == UNFITTED

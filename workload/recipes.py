@@ -211,9 +211,10 @@ def operation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "version_from_base",
-    f"""WITH l AS ({_LOG}), t AS (SELECT max(id) AS last FROM l)
-        SELECT id + last AS id, 3::BIGINT AS version_id, operation_type, parameters FROM l, t WHERE version_id = 1
-        UNION ALL SELECT id + 2 * last, 3::BIGINT, operation_type, parameters FROM l, t WHERE version_id = 2""",
+    f"""WITH l AS ({_LOG}), t AS (SELECT max(id) + 1 AS following, min(id) FILTER (version_id = 1) AS b0, max(id) FILTER (version_id = 1) AS b1,
+                  min(id) FILTER (version_id = 2) AS a0 FROM l)
+        SELECT id - b0 + following AS id, 3::BIGINT AS version_id, operation_type, parameters FROM l, t WHERE version_id = 1
+        UNION ALL SELECT id - a0 + following + b1 - b0 + 1, 3::BIGINT, operation_type, parameters FROM l, t WHERE version_id = 2""",
 )
 def version_from_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _log(spark, sf_dir)
