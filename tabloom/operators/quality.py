@@ -20,8 +20,6 @@ WARNING, ERROR, HIGH = "Warning", "Error", "High"
 NO_COLUMN = "Column '{column}' not found. It may have been dropped during data manipulation."
 FAILED = "Error applying rule: {reason}"
 
-RULES_PER_SCAN = 50  # more counts in one aggregate are too much code to be compiled
-
 RESULT = "rule_order int, rule_name string, column_name string, severity string, message string, failed_rows bigint"
 
 
@@ -87,13 +85,12 @@ def _verdict(order: int, rule: Rule, failed: Column, severity: str | None = None
     )
 
 
-def check_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row per failed rule: order, name, column, severity, message, failed rows.
+def rule_scan(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The failed rules as one lazy table, for ``check_rules``.
 
-    Range, null and custom rules share one scan. Uniqueness rules share one
-    shuffle of value counts, combined on the map side; ``failed_rows`` is then
-    the number of surplus rows. A missing column and a rule that cannot be
-    compiled give a verdict of severity High (``failed_rows`` is null).
+    Range, null and custom rules share one scan, whatever their number. Uniqueness
+    rules share one shuffle of value counts, combined on the map side. A rule that
+    breaks on a row fails the whole table.
     """
     row_rules: list[tuple[int, Rule, Column]] = []
     unique_rules: dict[str, list[tuple[int, Rule]]] = {}
@@ -110,9 +107,8 @@ def check_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
                 broken.append(_verdict(order, rule, F.lit(None), HIGH, FAILED.format(reason=_reason(error))))
 
     parts = []
-    for start in range(0, len(row_rules), RULES_PER_SCAN):
-        block = row_rules[start : start + RULES_PER_SCAN]
-        verdicts = [_verdict(order, rule, F.count_if(~test)) for order, rule, test in block]
+    if row_rules:
+        verdicts = [_verdict(order, rule, F.count_if(~test)) for order, rule, test in row_rules]
         parts.append(df.agg(F.array(*verdicts).alias("v")).select(F.inline("v")).filter("failed_rows > 0"))
     for _, counts in value_counts_by_column(df, unique_rules):
         surplus = counts.groupBy("name").agg((F.sum("n") - F.count(F.lit(1))).alias("surplus")).filter("surplus > 0")
@@ -135,28 +131,43 @@ def _reason(error: Exception) -> str:
 def violations(df: DataFrame, rules: list[Rule]) -> list[dict[str, Any]]:
     """The failed rules in rule order, as records.
 
-    If the shared pass breaks at run time (a callable raises, say), the rules
-    run one by one so that only the culprit is reported as an error.
+    If the shared pass breaks at run time (a callable raises, say), halves of the
+    rules are tried until only the culprits are left to be reported as errors.
     """
+    return sorted(_checked(df, list(enumerate(rules))), key=lambda r: r["rule_order"])
+
+
+def _checked(df: DataFrame, numbered: list[tuple[int, Rule]]) -> list[dict[str, Any]]:
     try:
-        rows = [r.asDict() for r in check_rules(df, rules).collect()]
-    except (PySparkException, Py4JJavaError):
-        rows = []
-        for order, rule in enumerate(rules):
-            try:
-                rows += [{**r.asDict(), "rule_order": order} for r in check_rules(df, [rule]).collect()]
-            except (PySparkException, Py4JJavaError) as error:
-                rows.append(
-                    {
-                        "rule_order": order,
-                        "rule_name": rule.rule_name,
-                        "column_name": rule.target_column,
-                        "severity": HIGH,
-                        "message": FAILED.format(reason=_reason(error)),
-                        "failed_rows": None,
-                    }
-                )
-    return sorted(rows, key=lambda r: r["rule_order"])
+        rows = rule_scan(df, [rule for _, rule in numbered]).collect()
+        return [{**r.asDict(), "rule_order": numbered[r["rule_order"]][0]} for r in rows]
+    except (PySparkException, Py4JJavaError) as error:
+        if len(numbered) > 1:
+            half = len(numbered) // 2
+            return _checked(df, numbered[:half]) + _checked(df, numbered[half:])
+        order, rule = numbered[0]
+        return [
+            {
+                "rule_order": order,
+                "rule_name": rule.rule_name,
+                "column_name": rule.target_column,
+                "severity": HIGH,
+                "message": FAILED.format(reason=_reason(error)),
+                "failed_rows": None,
+            }
+        ]
+
+
+def check_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row per failed rule: order, name, column, severity, message, failed rows.
+
+    ``failed_rows`` of a uniqueness rule is the number of surplus rows. A missing
+    column, a rule that cannot be compiled and a rule that breaks on a row give a
+    verdict of severity High (``failed_rows`` is null). The rules run at once, as
+    only that shows which of them break.
+    """
+    names = [part.split()[0] for part in RESULT.split(", ")]
+    return df.sparkSession.createDataFrame([tuple(r[n] for n in names) for r in violations(df, rules)], RESULT)
 
 
 def report(df: DataFrame, rules: list[Rule]) -> DataFrame:

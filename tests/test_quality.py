@@ -79,6 +79,12 @@ def test_runtime_error_in_an_expression(numbers):
     assert [(f["rule_name"], f["severity"]) for f in found] == [("n", "Error"), ("div", HIGH)]
 
 
+def test_runtime_errors_in_checks_and_reports(numbers):
+    rules = [Rule("n", NULL, "y"), Rule("div", CUSTOM, "x", condition="1 / x > 0"), Rule("m", NULL, "y")]
+    assert [(r["rule_order"], r["severity"]) for r in quality.check_rules(numbers, rules).collect()] == [(0, "Error"), (1, HIGH), (2, "Error")]
+    assert {tuple(r) for r in quality.report(numbers, rules).collect()} == {("Error", 2), (HIGH, 1)}
+
+
 def test_failing_rows(numbers):
     bad = quality.failing_rows(numbers, Rule("r", RANGE, "x", lower=-1, upper=6))
     assert sorted(r["x"] for r in bad.collect()) == [-5, 10]
@@ -92,13 +98,12 @@ def test_report(numbers):
 
 def test_row_rules_share_one_scan(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    rules = [Rule(f"r{i}", RANGE, "value", lower=0, upper=i) for i in range(5)] + [Rule("n", NULL, "user_id")]
-    plan = quality.check_rules(events, rules)._jdf.queryExecution().executedPlan().toString()
+    rules = [Rule(f"r{i}", RANGE, "value", lower=0, upper=i) for i in range(200)] + [Rule("n", NULL, "user_id")]
+    plan = quality.rule_scan(events, rules)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "props" not in plan
 
 
-def test_many_rules_keep_their_order(numbers, monkeypatch):
-    monkeypatch.setattr(quality, "RULES_PER_SCAN", 3)
+def test_many_rules_keep_their_order(numbers):
     rules = [Rule(f"r{i}", RANGE, "x", lower=-100, upper=i) for i in range(8)]
     assert failed(numbers, *rules) == [(f"r{i}", "Error", sum(v >= i for v in (-5, 0, 5, 10))) for i in range(8)]
 

@@ -117,6 +117,7 @@ def dq_missing_column(spark: SparkSession, sf_dir: str) -> DataFrame:
         (0, "e", "value", "High", "Error applying rule: empty condition", "any_value(NULL)"),
         (1, "b", "value", "High", "Error applying rule", "any_value(NULL)"),
         (2, "n", "value", "Error", "value missing", "count_if(value IS NULL)"),
+        (3, "z", "value", "High", "Error applying rule", "any_value(NULL)"),
     ),
 )
 def dq_rule_error(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,11 +125,12 @@ def dq_rule_error(spark: SparkSession, sf_dir: str) -> DataFrame:
         Rule("e", CUSTOM, "value", condition=" "),
         Rule("b", CUSTOM, "value", condition="no_such_column > 1"),
         Rule("n", NULL, "value", "Error", "value missing"),
+        Rule("z", CUSTOM, "value", condition="1 / (event_id - event_id) > 0"),
     ]
     verdicts = quality.check_rules(_events(spark, sf_dir), rules)
-    # the wording of an analysis error belongs to Spark
+    # the wording of what follows belongs to Spark
     return verdicts.withColumn(
-        "message", F.when(F.col("rule_name") == "b", F.split("message", ":")[0]).otherwise(F.col("message"))
+        "message", F.when(F.col("rule_name").isin("b", "z"), F.split("message", ":")[0]).otherwise(F.col("message"))
     )
 
 
