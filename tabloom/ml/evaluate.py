@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.functions.columns import col, require_columns
 from tabloom.operators.encode import sorted_categories
 
-MAX_CLASSES = 1_000
-
 
 def _scored(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     require_columns(df, [actual, predicted])
@@ -39,19 +37,19 @@ def _pairs(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     return _scored(df, actual, predicted).groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_matrix(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """``(actual, predicted, count)`` for every pair of the classes that occur, zeros included."""
+def confusion_matrix(df: DataFrame, actual: str, predicted: str, zeros: bool = True) -> DataFrame:
+    """``(actual, predicted, count)`` for every pair of the classes that occur.
+
+    The grid is the square of the classes, made by the tasks that hold them;
+    ``zeros=False`` gives only the pairs that rows show.
+    """
     pairs = _pairs(df, actual, predicted)
+    if not zeros:
+        return pairs.select(F.col("y").alias("actual"), F.col("p").alias("predicted"), F.col("n").alias("count"))
     both = pairs.select(F.explode(F.array("y", "p")).alias("label"))
-    classes = sorted_categories(both, "label", MAX_CLASSES)
-    if classes is None:
-        raise ValueError(f"more than {MAX_CLASSES} classes; is '{actual}' a number to regress on?")
-    labels = F.array(*[F.lit(c).cast(both.schema["label"].dataType) for c in classes])
-    zeros = (
-        df.sparkSession.range(1)
-        .select(F.explode(labels).alias("y"))
-        .select("y", F.explode(labels).alias("p"), F.lit(0).cast("bigint").alias("n"))
-    )
+    label_type = both.schema["label"].dataType
+    labels = F.array(*[F.lit(c) for c in sorted_categories(both, "label")]).cast(T.ArrayType(label_type))
+    zeros = both.distinct().select(F.col("label").alias("y"), F.explode(labels).alias("p"), F.lit(0).cast("bigint").alias("n"))
     return (
         pairs.unionByName(zeros)
         .groupBy(F.col("y").alias("actual"), F.col("p").alias("predicted"))

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tabloom.functions.columns import col, is_numeric, require_columns
+from tabloom.functions.columns import is_numeric, require_columns
 
-INDEXED = 500  # text columns with more values than about this are hashed instead
-HASHED_FEATURES = 1 << 14
+HASHED_FEATURES = 1 << 14  # slots of the text columns that a caller wants hashed
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 
@@ -23,36 +22,43 @@ def _as_number(name: str, data_type: T.DataType) -> str | None:
     if isinstance(data_type, T.DateType):
         return f"CAST(unix_date({quoted}) AS DOUBLE)"
     if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return f"CAST(unix_date(CAST({quoted} AS DATE)) AS DOUBLE)"
+        return f"unix_micros(CAST({quoted} AS TIMESTAMP)) / 1e6"
     return None
 
 
-def feature_pipeline(df: DataFrame, target: str, leave_out: tuple[str, ...] = ()) -> Pipeline:
+def feature_pipeline(
+    df: DataFrame, target: str, leave_out: tuple[str, ...] = (), hashed: tuple[str, ...] = ()
+) -> Pipeline:
     """Stages that add ``features`` to tables shaped like ``df``, with or without the target.
 
-    Numbers, booleans and dates become doubles with the mean for missing ones.
-    Texts are one-hot encoded if they have few values and hashed otherwise, so
-    the size of the vector and of the fitted stages stays bounded.
+    Numbers, booleans, dates and times (in seconds) become doubles; a missing one
+    becomes the mean over ``df``, or zero where ``df`` has no value. Texts are
+    one-hot encoded, apart from those in ``hashed``, which share hashed slots.
+    Other types raise unless they are left out by name.
     """
-    require_columns(df, [target, *leave_out])
+    require_columns(df, [target, *leave_out, *hashed])
     fields = [f for f in df.schema.fields if f.name not in (target, *leave_out)]
     numbers = {f.name: e for f in fields if (e := _as_number(f.name, f.dataType))}
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    if not numbers and not texts:
+    other = [f"{f.name} ({f.dataType.simpleString()})" for f in fields if f.name not in numbers and f.name not in texts]
+    if other:
+        raise TypeError(f"no feature can be made of {', '.join(other)}; leave them out")
+    if not fields:
         raise ValueError("no usable feature column")
-    sizes = df.agg(*[F.approx_count_distinct(col(c)).alias(f"t{i}") for i, c in enumerate(texts)]).first() if texts else []
-    indexed = [c for c, n in zip(texts, sizes) if n <= INDEXED]
-    hashed = [c for c in texts if c not in indexed]
+    indexed = [c for c in texts if c not in hashed]
+    hashed = [c for c in texts if c in hashed]
 
     stages: list = []
     inputs: list[str] = []
     if numbers:
-        extra = ", ".join(f"{e} AS `num_{n}`" for n, e in numbers.items())
-        stages.append(SQLTransformer(statement=f"SELECT *, {extra} FROM __THIS__"))
-        raw = [f"num_{n}" for n in numbers]
-        filled = [f"fill_{n}" for n in numbers]
-        stages.append(Imputer(inputCols=raw, outputCols=filled, strategy="mean"))
-        inputs += filled
+        shown = {n: f"NULLIF({e}, CAST('NaN' AS DOUBLE))" for n, e in numbers.items()}
+        means = df.agg(*[F.avg(F.expr(e)) for e in shown.values()]).first()
+        filled = [
+            f"COALESCE({e}, CAST('{0.0 if m is None else m!r}' AS DOUBLE)) AS `fill_{n}`"
+            for (n, e), m in zip(shown.items(), means)
+        ]
+        stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(filled)} FROM __THIS__"))
+        inputs += [f"fill_{n}" for n in numbers]
     if indexed:
         index, hot = [f"idx_{c}" for c in indexed], [f"hot_{c}" for c in indexed]
         stages.append(

@@ -138,27 +138,30 @@ def train(
     max_models: int = MAX_MODELS,
     parallelism: int = 4,
     folds: int = 3,
+    hashed: tuple[str, ...] = (),
 ) -> TrainingRun:
     """Fit up to ``max_models`` models on the train part, score them on the validation part.
 
     ``key`` identifies a row; it decides the split and is not a feature. Rows
-    without a target are left out.
+    without a target are left out; text columns in ``hashed`` are hashed, not one-hot encoded.
     """
     if task not in FAMILIES:
         raise ValueError(f"unknown task '{task}'; choose one of {sorted(FAMILIES)}")
     families = families or list(FAMILIES[task])
     labelled = df.filter(F.col(f"`{target}`").isNotNull())
     parts = split(labelled, key, SEED)
-    prepared = feature_pipeline(parts["train"], target, leave_out=(key,)).fit(parts["train"])
+    prepared = feature_pipeline(parts["train"], target, leave_out=(key,), hashed=hashed).fit(parts["train"])
     labeller = Pipeline(stages=[label_stage(target, task)]).fit(parts["train"])
     labels = list(labeller.stages[0].labels) if task == CLASSIFICATION else []
-    if len(labels) > evaluate.MAX_CLASSES:
-        raise ValueError(f"'{target}' has {len(labels)} classes; regress on it instead")
+    # rows of a class that training never saw are misses of every model, so they are judged as well
+    judging = labeller
+    if task == CLASSIFICATION:
+        judging = PipelineModel([labeller.stages[0].copy().setHandleInvalid("keep")])
     fit_on, judge_on = (
-        labeller.transform(prepared.transform(parts[part]))
+        by.transform(prepared.transform(parts[part]))
         .select(F.col(f"`{key}`"), "features", "label")
         .persist(StorageLevel.MEMORY_AND_DISK)
-        for part in ("train", "validation")
+        for part, by in (("train", labeller), ("validation", judging))
     )
     try:
         names = feature_names(fit_on)
@@ -209,10 +212,11 @@ def _judge(t: Trained, featured: DataFrame, task: str, prepared: PipelineModel,
         .first()
     )
     metrics: dict[str, float | None] = {"logloss": None, "auc": None, **row.asDict()}
+    known = scored.filter(F.col("label") < classes)  # a class without a probability has no loss
     if "probability" in scored.columns:
-        metrics["logloss"] = MulticlassClassificationEvaluator(metricName="logLoss").evaluate(scored)
+        metrics["logloss"] = MulticlassClassificationEvaluator(metricName="logLoss").evaluate(known)
     if classes == 2 and "rawPrediction" in scored.columns:
-        metrics["auc"] = BinaryClassificationEvaluator().evaluate(scored)
+        metrics["auc"] = BinaryClassificationEvaluator().evaluate(known)
     return metrics
 
 

@@ -4,40 +4,29 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tabloom.functions.columns import DuplicateColumn, col, field_type, require_columns
+from tabloom.functions.columns import DuplicateColumn, col, require_columns
 from tabloom.operators.merge import merge
-from tabloom.session import scratch_path
-
-MAX_ONE_HOT = 1_000  # every category becomes a column of the plan
-SMALL_CODES = 10_000  # up to so many values are numbered on the driver ...
-SMALL_BYTES = 16 << 20  # ... if they are short enough together
-RANGE_VALUES = 100_000  # beyond that, about so many values per stretch of the sorted values ...
-MAX_RANGES = 4_096  # ... and at most so many stretches
+from tabloom.session import scratch_folder
 
 
 class TooManyCategories(ValueError):
     """A one-hot encoding would add more columns than allowed."""
 
 
-def sorted_categories(df: DataFrame, column: str, at_most: int) -> list[Any] | None:
-    """The distinct values in order, or None when there are more than ``at_most``."""
+def sorted_categories(df: DataFrame, column: str, at_most: int | None = None) -> list[Any] | None:
+    """The distinct values in order, or None when there are more than a given ``at_most``."""
     require_columns(df, [column])
-    rows = (
-        df.select(col(column).alias("value"))
-        .filter("value IS NOT NULL")
-        .distinct()
-        .orderBy("value")
-        .limit(at_most + 1)
-        .collect()
-    )
-    return None if len(rows) > at_most else [r["value"] for r in rows]
+    values = df.select(col(column).alias("value")).filter("value IS NOT NULL").distinct().orderBy("value")
+    rows = (values if at_most is None else values.limit(at_most + 1)).collect()
+    return None if at_most is not None and len(rows) > at_most else [r["value"] for r in rows]
 
 
 # -- one-hot ------------------------------------------------------------------
 
-def one_hot_categories(df: DataFrame, columns: list[str], max_categories: int = MAX_ONE_HOT) -> dict[str, list]:
+def one_hot_categories(df: DataFrame, columns: list[str], max_categories: int | None = None) -> dict[str, list]:
+    """The categories of each column; each becomes a column of the plan, which a caller may limit."""
     found = {}
     for c in columns:
         values = sorted_categories(df, c, max_categories)
@@ -63,48 +52,33 @@ def apply_one_hot(df: DataFrame, categories: dict[str, list]) -> DataFrame:
     return df.select(*[col(c) for c in kept], *[e.alias(n) for n, e in added.items()])
 
 
-def one_hot(df: DataFrame, columns: list[str], max_categories: int = MAX_ONE_HOT) -> DataFrame:
+def one_hot(df: DataFrame, columns: list[str], max_categories: int | None = None) -> DataFrame:
     return apply_one_hot(df, one_hot_categories(df, columns, max_categories))
 
 
 # -- label codes --------------------------------------------------------------
 
-def label_codes(
-    df: DataFrame, column: str, small: int = SMALL_CODES, small_bytes: int = SMALL_BYTES
-) -> DataFrame:
+def label_codes(df: DataFrame, column: str) -> DataFrame:
     """``(value, code)``: the distinct values numbered from 0 in sorted order.
 
-    Few short values are numbered on the driver. Otherwise they are cut into
-    ranges at a bounded sample of themselves, numbered inside each range, and
-    shifted by the sizes of the ranges before, so no task holds more than its
-    range. The cuts are literals: a recomputed task numbers its values alike.
+    The values are dealt by ranges and written once with the number of their
+    range; they are then numbered inside each range and shifted by the sizes of
+    the ranges before, so no task holds more than its range. A recomputed task
+    numbers alike, as the ranges are read from the table. The driver sees one
+    count per range.
     """
-    data_type = field_type(df, column)
     distinct = df.select(col(column).alias("value")).filter("value IS NOT NULL").distinct()
-    count, size = distinct.agg(F.count("value"), F.sum(F.octet_length(F.col("value").cast("string")))).first()
-    if count <= small and (size or 0) <= small_bytes:
-        values = [r["value"] for r in distinct.orderBy("value").collect()]
-        codes = df.sparkSession.createDataFrame(
-            [(v, i) for i, v in enumerate(values)], f"value {data_type.simpleString()}, code bigint"
-        )
-        return F.broadcast(codes)  # its rows and bytes were checked
-    # kept as a table, so that the passes below do not read the whole input again
-    path = scratch_path(df.sparkSession, "labels")
-    distinct.write.parquet(path)
-    distinct = df.sparkSession.read.parquet(path)
-    # any text can be a cut, so the start of a long one will do
-    cut = F.substring("value", 1, 64) if isinstance(data_type, T.StringType) else F.col("value")
-    ranges = min(MAX_RANGES, max(2, count // RANGE_VALUES))
-    sample = distinct.orderBy(F.xxhash64("value"), "value").limit(ranges - 1).select(cut.alias("cut")).collect()
-    cuts = F.array(*[F.lit(c).cast(data_type) for c in sorted({r["cut"] for r in sample})])
-    ranged = distinct.withColumn("cut", F.size(F.filter(cuts, lambda c: c <= F.col("value"))))
-    sizes = {r["cut"]: r["count"] for r in ranged.groupBy("cut").count().collect()}
-    offsets, before = [], 0
-    for number in sorted(sizes):
-        offsets += [F.lit(number), F.lit(before)]
-        before += sizes[number]
-    place = F.row_number().over(Window.partitionBy("cut").orderBy("value")) - 1
-    return ranged.select("value", (F.create_map(*offsets)[F.col("cut")] + place).cast("bigint").alias("code"))
+    path = scratch_folder(df.sparkSession, "labels")
+    dealt = distinct.repartitionByRange("value").withColumn("range", F.spark_partition_id())
+    dealt.write.mode("overwrite").parquet(path)
+    ranged = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
+    before = [0]
+    for number in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(number, 0))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("value")) - 1
+    offset = F.get(F.array(*[F.lit(n).cast("bigint") for n in before]), F.col("range"))
+    return ranged.select("value", (offset + place).cast("bigint").alias("code"))
 
 
 def apply_label_codes(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
@@ -114,8 +88,8 @@ def apply_label_codes(df: DataFrame, column: str, codes: DataFrame) -> DataFrame
     return joined.select(*[F.col("__code").alias(c) if c == column else col(c) for c in df.columns])
 
 
-def label_encode(df: DataFrame, columns: list[str], small: int = SMALL_CODES) -> DataFrame:
+def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace each column by the position of its value among the sorted distinct values."""
     for c in columns:
-        df = apply_label_codes(df, c, label_codes(df, c, small))
+        df = apply_label_codes(df, c, label_codes(df, c))
     return df

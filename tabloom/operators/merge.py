@@ -77,7 +77,7 @@ def find_hot_keys(left: DataFrame, right: DataFrame, key: str) -> dict[str, list
     are kept; the rest is left to the ordinary shuffle.
     """
     keys = [
-        df.select(F.lit(side).alias("side"), col(key).cast(field_type(left, key)).alias("key")).sample(SAMPLE, seed=7)
+        df.select(F.lit(side).alias("side"), col(key).alias("key")).sample(SAMPLE, seed=7)
         for side, df in (("left", left), ("right", right))
     ]
     rows = (
@@ -118,8 +118,7 @@ def _salted(
 
 
 def _among(df: DataFrame, key: str, values: list[Any]) -> Column:
-    data_type = field_type(df, key)
-    known = [F.lit(v).cast(data_type) for v in values if v is not None]
+    known = [F.lit(v) for v in values if v is not None]  # compared in the wider type
     found = F.coalesce(col(key).isin(*known), F.lit(False)) if known else F.lit(False)
     return found | col(key).isNull() if None in values else found
 

@@ -103,7 +103,7 @@ ONE_HOT = "OneHotEncoding"
 
 def _encode_learn(df: DataFrame, p: dict[str, Any], context: Context) -> Any:
     if p["type"] == ONE_HOT:
-        return encode.one_hot_categories(df, p["columns"], p.get("max_categories", encode.MAX_ONE_HOT))
+        return encode.one_hot_categories(df, p["columns"], p.get("max_categories"))
     return {c: encode.label_codes(df, c) for c in p["columns"]}
 
 

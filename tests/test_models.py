@@ -65,10 +65,22 @@ def test_wrong_task_and_family(learnable):
         train.train(learnable, "amount", REGRESSION, "id", ["NaiveBayes"])
 
 
-def test_many_valued_text_is_hashed(spark):
-    df = spark.range(2_000).select("id", F.md5(F.col("id").cast("string")).alias("t"), (F.col("id") % 2).alias("y"))
-    prepared = features.feature_pipeline(df, "y", leave_out=("id",)).fit(df).transform(df)
+def test_text_is_hashed_on_request_only(spark):
+    df = spark.range(600).select("id", F.md5(F.col("id").cast("string")).alias("t"), (F.col("id") % 2).alias("y"))
+    prepared = features.feature_pipeline(df, "y", leave_out=("id",), hashed=("t",)).fit(df).transform(df)
     assert len(features.feature_names(prepared)) == features.HASHED_FEATURES
+    prepared = features.feature_pipeline(df, "y", leave_out=("id",)).fit(df).transform(df)
+    assert len(features.feature_names(prepared)) >= 600
+
+
+def test_feature_cells(spark):
+    df = spark.sql("SELECT CAST(NULL AS DOUBLE) AS empty, TIMESTAMP '1970-01-01 00:00:01.5' AS at, v, 0 AS y FROM VALUES (1.0D), (3.0D), (NULL), (DOUBLE('NaN')) t(v)")
+    prepared = features.feature_pipeline(df, "y").fit(df).transform(df)
+    assert sorted(tuple(r["features"].toArray()) for r in prepared.collect()) == [(0.0, 1.5, 1.0), (0.0, 1.5, 2.0), (0.0, 1.5, 2.0), (0.0, 1.5, 3.0)]
+    nested = df.withColumn("list", F.array(F.lit(1)))
+    with pytest.raises(TypeError):
+        features.feature_pipeline(nested, "y")
+    features.feature_pipeline(nested, "y", leave_out=("list",))
 
 
 def test_regression_metric_edges(spark):
@@ -86,8 +98,8 @@ def test_report_of_nothing(spark):
     assert evaluate.accuracy(empty, "y", "p").first()[0] is None
 
 
-def test_confusion_needs_classes(spark, monkeypatch):
-    monkeypatch.setattr(evaluate, "MAX_CLASSES", 5)
-    df = spark.range(10).select(F.col("id").alias("y"), F.col("id").alias("p"))
-    with pytest.raises(ValueError):
-        evaluate.confusion_matrix(df, "y", "p")
+def test_confusion_of_many_classes(spark):
+    df = spark.range(1_100).select(F.col("id").alias("y"), F.col("id").alias("p"))
+    found = evaluate.confusion_matrix(df, "y", "p")
+    assert tuple(found.agg(F.count("*"), F.sum("count")).first()) == (1_100**2, 1_100)
+    assert evaluate.confusion_matrix(df, "y", "p", zeros=False).count() == 1_100

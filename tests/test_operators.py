@@ -124,13 +124,11 @@ def test_one_hot(people):
         encode.one_hot(people, ["id"], max_categories=3)
 
 
-@pytest.mark.parametrize("small", [10_000, 0])
-def test_label_codes_are_dense_and_sorted(spark, monkeypatch, small):
-    monkeypatch.setattr(encode, "RANGE_VALUES", 50)
-    words = [f"w{(i * 7919) % 3001:05d}" for i in range(5_000)] + ["hot"] * 2_500 + [None]
+def test_label_codes_are_dense_and_sorted(spark):
+    words = ["x" * 80 + f"w{(i * 7919) % 3001:05d}" for i in range(5_000)] + ["hot"] * 2_500 + [None]
     df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "id bigint, w string").repartition(6)
     codes = {w: c for c, w in enumerate(sorted({w for w in words if w}))}
-    out = {r["id"]: r["w"] for r in encode.label_encode(df, ["w"], small=small).collect()}
+    out = {r["id"]: r["w"] for r in encode.label_encode(df, ["w"]).collect()}
     assert out == {i: codes.get(w) for i, w in enumerate(words)}
 
 
@@ -174,6 +172,15 @@ def test_find_hot_keys(spark, monkeypatch):
     assert sorted([tuple(r) for r in out.collect()], key=str) == expected_join(LEFT, RIGHT, "outer")
 
 
+def test_outer_merge_of_keys_of_two_widths(spark, monkeypatch):
+    monkeypatch.setattr(merge, "SAMPLE", 1.0)
+    monkeypatch.setattr(merge, "HOT_SAMPLED", 30)
+    left = spark.createDataFrame([(1, 1)] * 40, "k int, a bigint")
+    right = spark.createDataFrame([(1 << 40, i) for i in range(40)] + [(1, 5)], "k bigint, b bigint")
+    out = merge.merge(left, right, "k", "outer")
+    assert out.groupBy("k").count().orderBy("k").collect() == [(1, 40), (1 << 40, 40)]
+
+
 def test_merge_sample_pair(spark):
     """Keys 1-5 against 1, 2, 3, 6, 7: 3, 5, 5 and 7 rows."""
     customers = spark.createDataFrame([(i, f"n{i}") for i in range(1, 6)], "CustomerID bigint, Name string")

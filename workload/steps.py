@@ -331,7 +331,7 @@ def encode_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_label_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label codes by the path for more values than the driver should number."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode.label_encode(documents, ["text"], small=0)
+    return encode.label_encode(documents, ["text"])
 
 
 # -- outliers -----------------------------------------------------------------
