@@ -57,7 +57,7 @@ def cast_column(df: DataFrame, name: str, type_name: str, lenient: bool = False)
     value = col(name)
 
     if type_name == "List":
-        return value if isinstance(source, T.ArrayType) else F.when(
+        return value.cast("array<string>") if isinstance(source, T.ArrayType) else F.when(
             value.isNotNull(), F.array(value.cast("string"))
         )
     converted = _across_time(value, source, type_name)
