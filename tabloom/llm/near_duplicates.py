@@ -14,7 +14,9 @@ by a number of pairs that grows with the group, not with its square; it is branc
 it holds texts of different components. A large node that one component fills but for a few texts
 is compared exhaustively as well: these texts go to every block. Pairs that may be similar are confirmed on the full sets,
 links become components, and the next depth looks only at nodes with several components, at every
-pair between them. The work ends when no large node holds several components, or at ``DEPTH``.
+pair between them. The work ends when no large node holds several components. Nodes that are still
+large after ``DEPTH`` branchings are compared exhaustively, wide block against wide block, each two
+of them a group of their own.
 
 No task sees more than a block, apart from the texts of one pair; nothing is collected to the
 driver but counts; every step that others read is a table in the shared folder.
@@ -37,6 +39,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from tabloom.llm.common import as_long, bucketed, table, text_or_empty, written
 
 TREES, BLOCK, PIVOTS, DEPTH = 6, 64, 8, 10
+#: Texts of a block when every block of a node meets every other.
+WIDE = 512
 #: Minwise tokens of a set, and how many of them choose paths.
 TOKENS, PATHS = 512, 64
 #: Standard errors that a sketch's estimate may lie below the threshold.
@@ -131,15 +135,15 @@ def _measured(size: int):
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows of one (node, block) after another: ids, components, whether they are in the block for
-    others to be met and paired among themselves elsewhere, set sizes, sketches."""
+    """Rows of one (node, block) after another: ids, components, sides (texts of one side other than
+    0 are paired among themselves elsewhere), set sizes, sketches."""
     held: list[tuple] = []
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         node, block, ids, comps, counts = (batch.column(i).to_numpy() for i in range(5))
-        again = batch.column(5).to_numpy(zero_copy_only=False)
+        side = batch.column(5).to_numpy()
         bits = np.frombuffer(b"".join(batch.column(6).to_pylist()), _U).reshape(len(ids), -1)
         cuts = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
         for a, b in zip([0, *cuts], [*cuts, len(node)]):
@@ -148,7 +152,7 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
                 yield tuple(np.concatenate(x) for x in zip(*held))
                 held = []
             last = here
-            held.append((ids[a:b], comps[a:b], again[a:b], counts[a:b], bits[a:b]))
+            held.append((ids[a:b], comps[a:b], side[a:b], counts[a:b], bits[a:b]))
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held))
 
@@ -160,14 +164,14 @@ def _alike(least: float, percent: int, spanning: bool):
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, found = ["a", "b", "ca", "cb"], []
-        for ids, comps, again, counts, bits in _groups(batches):
+        for ids, comps, side, counts, bits in _groups(batches):
             ids, first = np.unique(ids, return_index=True)
-            comps, again, counts, bits = comps[first], again[first], counts[first], bits[first]
+            comps, side, counts, bits = comps[first], side[first], counts[first], bits[first]
             if len(ids) < 2:
                 continue
             agree = np.stack([agreement(bits, x) for x in bits])
             fits = 100 * np.minimum.outer(counts, counts) >= percent * np.maximum.outer(counts, counts)
-            told = again[:, None] & again[None, :]
+            told = (side[:, None] == side[None, :]) & (side[:, None] > 0)
             a, b = np.nonzero(np.triu(agree >= least, 1) & (comps[:, None] != comps[None, :]) & fits & ~told)
             if spanning and len(a) > 1:
                 order = np.argsort(-agree[a, b], kind="stable")
@@ -237,6 +241,17 @@ def _child(node: Column, paths: Column, branch: int) -> Column:
     return F.xxhash64(node, which, F.substring(paths, which + 1, F.lit(1)))
 
 
+def _facing(large: DataFrame) -> DataFrame:
+    """Each two wide blocks of a node as one group, in which only texts of different blocks are
+    paired, and each block with itself."""
+    n = F.ceil(F.col("size") / WIDE).cast("long")
+    dealt = large.select("node", "id", "comp", n.alias("n"), F.pmod(F.xxhash64("id"), n).alias("own"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    block = F.least("own", "other") * F.col("n") + F.greatest("own", "other")
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return met.select("node", block.alias("block"), "id", "comp", side.alias("side"))
+
+
 def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows ``(id, order, h, n, digest)``, and for each digest the first ``(order, h)`` of its component."""
     threshold = percent / 100
@@ -258,7 +273,7 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
     # each tree's first token
     nodes = texts.select(F.col("node_id").alias("id"), F.explode(F.array(*[F.xxhash64(F.lit(t), F.get("starts", F.lit(t))) for t in range(TREES)])).alias("node"))
     comps, tested, bodies = None, None, None
-    for depth in range(DEPTH):
+    for depth in range(DEPTH + 1):
         # of every node: its size, its largest component and how many texts that has
         if comps is None:
             placed = nodes.withColumn("comp", F.col("id"))
@@ -274,18 +289,23 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
         few = F.col("size") - F.col("most") <= 2 * BLOCK
         outside = (F.col("size") > 2 * BLOCK) & few & (F.col("comp") != F.col("main"))
         apart = active.filter(outside).select("node", every, "id", "comp")
-        members = active.filter(~outside).select("node", F.pmod(F.xxhash64("id", F.lit(depth)), blocks).alias("block"), "id", "comp")
+        crowded = (F.col("size") > 2 * BLOCK) & ~few
+        inside = active.filter(~outside if depth < DEPTH else ~outside & ~crowded)
+        members = inside.select("node", F.pmod(F.xxhash64("id", F.lit(depth)), blocks).alias("block"), "id", "comp")
         # pivots of another large node come from its smallest components, another set at each depth
-        large = active.filter((F.col("size") > 2 * BLOCK) & ~few)
+        large = active.filter(crowded)
         share = large.groupBy("node", "comp").agg(F.count("*").alias("of_comp"))
         rank = F.struct("of_comp", F.xxhash64("id", F.lit(depth + 1)).alias("by"), "id", "comp", "size")
         chosen = large.join(share, ["node", "comp"]).groupBy("node", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("slot")).agg(F.min(rank).alias("p"))
         pivots = chosen.select("node", "p.id", "p.comp", "p.size").select("node", every, "id", "comp")
         # those in every block are paired among themselves in the first
-        added = apart.union(pivots).withColumn("again", F.col("block") > 0)
-        grouped = members.withColumn("again", F.lit(False)).union(added).join(known, "id").select("node", "block", "id", "comp", "count", "again", "bits")
+        added = (apart.union(pivots) if depth < DEPTH else apart).withColumn("side", (F.col("block") > 0).cast("int"))
+        grouped = members.withColumn("side", F.lit(0)).union(added)
+        if depth == DEPTH:
+            grouped = grouped.union(_facing(large))
+        grouped = grouped.join(known, "id").select("node", "block", "id", "comp", "count", "side", "bits")
         dealt = grouped.repartition("node", "block").sortWithinPartitions("node", "block")
-        pairs = dealt.mapInArrow(_alike(least, percent, depth == 0), "a long, b long, ca long, cb long").distinct()
+        pairs = dealt.mapInArrow(_alike(least, percent, depth == 0 and DEPTH > 0), "a long, b long, ca long, cb long").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -304,15 +324,15 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
                     moved = comps.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
                     merged = written(moved.union(merged), "components")
                 comps = merged
-        if depth and large.isEmpty():
+        if depth == DEPTH or depth and large.isEmpty():
             break
-        # large nodes are branched; small ones of the first depth, which showed the pairs that connect
+        # large nodes are branched; others of the first depth, which showed the pairs that connect
         # them, show every other pair between components at the next
         branched = large.join(ways, "id").select("id", F.explode(F.array_distinct(F.array(
             _child(F.col("node"), F.col("paths"), 1),
             F.when(F.pmod(F.xxhash64("node"), F.lit(100)) < round(100 * (1 / threshold - 1)), _child(F.col("node"), F.col("paths"), 2)),
         ))).alias("node")).filter("node IS NOT NULL")
-        nodes = written(branched if depth else active.filter(F.col("size") <= 2 * BLOCK).select("id", "node").union(branched), "branches")
+        nodes = written(branched if depth else active.filter(~crowded).select("id", "node").union(branched), "branches")
     if comps is None:
         labelled = texts.select("digest", "order", "h", F.col("node_id").alias("comp"))
     else:

@@ -251,3 +251,13 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert abs(sum(len(t.split()) for _, t in rows(after)) - words) <= 20
     order = [r.doc_id for r in kept["token files"][1].orderBy("start").collect()]
     assert order == [r.doc_id for r in after.selectExpr("doc_id", "_metadata.file_name f", "_metadata.row_index i").orderBy("f", "i").collect()]
+
+
+def test_pairs_inside_a_large_family(spark, monkeypatch):
+    # 400 texts 0.71 alike, and a copy of some that is 0.8 to 0.82 like its own only
+    monkeypatch.setattr(near_duplicates, "DEPTH", 1)
+    family = [[f"c{i}" for i in range(100)] + [f"w{i}x{j}" for j in range(20)] for i in range(400)]
+    family += [family[i][: -12 - i % 2] + [f"z{i}x{j}" for j in range(12 + i % 2)] for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(family)], "doc_id long, text string")
+    got = {r.key: r.component_id for r in near_duplicates.linked_components(docs).collect()}
+    assert got == {i: i - 400 if i >= 400 else i for i in range(440)}
