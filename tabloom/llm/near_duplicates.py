@@ -4,9 +4,10 @@ A document is its set of word shingles; documents with equal sets are one *text*
 minwise tokens: a whole one for each tree, a byte of each that paths branch by, two bits of each
 that a longer sketch compares. Every tree sorts the texts by one token into nodes; a node that is still
 large is branched again by tokens that its own path selects, each of which two similar texts share
-with the probability of their similarity. With on average 1 / threshold branches a node, a similar
-pair is expected to stay together in about one node at any depth, and independent trees make up for
-the pairs that a tree parts.
+with the probability of their similarity. With on average ``SPREAD`` / threshold branches a node, more
+than 1 / threshold, a pair at the threshold stays together in some node of a tree with a probability
+that does not fade with the depth. There are as many trees as ``RECALL`` takes at exactly the threshold
+and the last depth.
 
 Small nodes are compared exhaustively by sketch. A node that is large is cut into blocks of texts
 to which the same few pivots are added, so that groups of thousands of near copies become connected
@@ -30,6 +31,7 @@ empty table gives no rows; only the named columns are read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,11 +40,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tabloom.llm.common import as_long, bucketed, table, text_or_empty, written
 
-TREES, BLOCK, PIVOTS, DEPTH = 6, 64, 8, 10
+BLOCK, PIVOTS, DEPTH = 64, 8, 10
+#: Share of the pairs at exactly the threshold that meet although every node is branched to the last
+#: depth, the trees it takes at least, and nodes a pair at the threshold goes on in for each it is in.
+RECALL, LEAST_TREES, SPREAD = 0.999, 10, 1.2
 #: Texts of a block when every block of a node meets every other.
 WIDE = 512
-#: Minwise tokens of a set, and how many of them choose paths.
-TOKENS, PATHS = 512, 64
+#: Minwise tokens of a set, and how many of them, the last ones, choose paths.
+TOKENS, PATHS = 512, 128
 #: Standard errors that a sketch's estimate may lie below the threshold.
 ERRORS = 3.5
 KEPT_WORDS = 400_000
@@ -97,7 +102,31 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return np.unique(out ^ (out >> _U(29)))
 
 
-def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
+def second_branch(threshold: float) -> float:
+    """Share of nodes that branch by two tokens instead of one."""
+    return min(1.0, round(SPREAD / threshold - 1, 2))
+
+
+def recall(threshold: float, trees: int, depth: int) -> float:
+    """Probability that a pair at the threshold shares a node of some tree after ``depth`` branchings.
+    Paths of all trees draw on the same tokens, so it is averaged over how many of them the pair shares."""
+    two, total = second_branch(threshold), 0.0
+    for k in range(PATHS + 1):
+        stays, lasts = k / PATHS, 1.0
+        for _ in range(depth):
+            lasts = (1 - two) * stays * lasts + two * (1 - (1 - stays * lasts) ** 2)
+        total += math.comb(PATHS, k) * threshold**k * (1 - threshold) ** (PATHS - k) * (1 - (1 - threshold * lasts) ** trees)
+    return total
+
+
+def trees_for(threshold: float) -> int:
+    for trees in range(LEAST_TREES, TOKENS - PATHS + 1):
+        if recall(threshold, trees, DEPTH) >= RECALL:
+            return trees
+    raise ValueError(f"no number of trees finds {RECALL} of the pairs at {threshold}")
+
+
+def sketch(hashes: np.ndarray, trees: int) -> tuple[np.ndarray, bytes, bytes]:
     """The first token of each tree, a byte of each token of ``PATHS``, two bits of every token."""
     least, short = np.full(TOKENS, 0xFFFFFFFF, np.uint32), (hashes >> _U(32)).astype(np.uint32)
     for at in range(0, len(short), 128):
@@ -106,7 +135,7 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
         np.minimum(least, part.min(axis=1), out=least)
     low = (least >> np.uint32(4)).astype(np.uint8)
     two = (low & 3).reshape(-1, 4)
-    return least[:TREES].astype(np.int32), low[:PATHS].tobytes(), (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
+    return least[:trees].astype(np.int32), low[-PATHS:].tobytes(), (two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6).tobytes()
 
 
 def agreement(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -115,7 +144,7 @@ def agreement(sketches: np.ndarray, one: np.ndarray) -> np.ndarray:
     return TOKENS - np.bitwise_count((differ | differ >> _U(1)) & _U(0x5555555555555555)).sum(axis=1, dtype=np.int64)
 
 
-def _measured(size: int):
+def _measured(size: int, trees: int):
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, sketches = [], [], ([], [], [])
@@ -123,7 +152,7 @@ def _measured(size: int):
                 hashes = shingles(text.as_buffer().to_pybytes(), size)
                 counts.append(len(hashes))
                 digests.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
-                for held, part in zip(sketches, sketch(hashes) if len(hashes) else (None, None, None)):
+                for held, part in zip(sketches, sketch(hashes, trees) if len(hashes) else (None, None, None)):
                     held.append(part)
             types = [pa.list_(pa.int32()), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays(
@@ -255,6 +284,7 @@ def _facing(large: DataFrame) -> DataFrame:
 def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows ``(id, order, h, n, digest)``, and for each digest the first ``(order, h)`` of its component."""
     threshold = percent / 100
+    trees = trees_for(threshold)
     share = threshold + (1 - threshold) / 4  # two bits agree by chance too
     least = TOKENS * (share - ERRORS * (share * (1 - share) / TOKENS) ** 0.5)
     rows = docs.select(
@@ -262,7 +292,7 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
         F.encode(text_or_empty(text), "utf-8").alias("text"),
     )
     schema = f"key {rows.schema['key'].dataType.simpleString()}, n long, digest binary, starts array<int>, paths binary, bits binary"
-    sets = written(rows.mapInArrow(_measured(size), schema).select("key.*", "n", "digest", "starts", "paths", "bits"), "shingle-sets")
+    sets = written(rows.mapInArrow(_measured(size, trees), schema).select("key.*", "n", "digest", "starts", "paths", "bits"), "shingle-sets")
     texts = written(
         sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct("order", "h", "n", "starts", "paths", "bits")).alias("first")).select("digest", "first.*")
         .withColumn("node_id", F.monotonically_increasing_id()),
@@ -271,7 +301,7 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
     known = texts.select(F.col("node_id").alias("id"), F.col("n").alias("count"), "bits")
     ways = texts.select(F.col("node_id").alias("id"), "paths")
     # each tree's first token
-    nodes = texts.select(F.col("node_id").alias("id"), F.explode(F.array(*[F.xxhash64(F.lit(t), F.get("starts", F.lit(t))) for t in range(TREES)])).alias("node"))
+    nodes = texts.select(F.col("node_id").alias("id"), F.explode(F.array(*[F.xxhash64(F.lit(t), F.get("starts", F.lit(t))) for t in range(trees)])).alias("node"))
     comps, tested, bodies = None, None, None
     for depth in range(DEPTH + 1):
         # of every node: its size, its largest component and how many texts that has
@@ -330,7 +360,7 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
         # them, show every other pair between components at the next
         branched = large.join(ways, "id").select("id", F.explode(F.array_distinct(F.array(
             _child(F.col("node"), F.col("paths"), 1),
-            F.when(F.pmod(F.xxhash64("node"), F.lit(100)) < round(100 * (1 / threshold - 1)), _child(F.col("node"), F.col("paths"), 2)),
+            F.when(F.pmod(F.xxhash64("node"), F.lit(100)) < round(100 * second_branch(threshold)), _child(F.col("node"), F.col("paths"), 2)),
         ))).alias("node")).filter("node IS NOT NULL")
         nodes = written(branched if depth else active.filter(~crowded).select("id", "node").union(branched), "branches")
     if comps is None:

@@ -261,3 +261,18 @@ def test_pairs_inside_a_large_family(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(family)], "doc_id long, text string")
     got = {r.key: r.component_id for r in near_duplicates.linked_components(docs).collect()}
     assert got == {i: i - 400 if i >= 400 else i for i in range(440)}
+
+
+def test_pairs_at_the_threshold_stay_together_at_the_last_depth():
+    trees, two = near_duplicates.trees_for(0.8), near_duplicates.second_branch(0.8)
+    assert trees >= 10 and near_duplicates.recall(0.8, trees, near_duplicates.DEPTH) >= near_duplicates.RECALL
+    rng = np.random.default_rng(6)
+    met = 0
+    for _ in range(300):  # 104 of 130 shingles shared, every node large
+        hashes = rng.integers(0, 1 << 64, 130, np.uint64)
+        (starts, paths, _), (others, ways, _) = near_duplicates.sketch(hashes[:117], trees), near_duplicates.sketch(hashes[13:], trees)
+        nodes = int((starts == others).sum())
+        for _ in range(near_duplicates.DEPTH):
+            nodes = sum(paths[i] == ways[i] for _ in range(nodes) for i in set(rng.integers(0, near_duplicates.PATHS, 1 + (rng.random() < two)).tolist()))
+        met += nodes > 0
+    assert met >= 297
