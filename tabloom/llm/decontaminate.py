@@ -5,16 +5,21 @@ turn into typed placeholders, other words into lower case. Windows of eight temp
 hashed and joined to the benchmark's windows, so a question asked again with other numbers or names
 still meets its template. Each match keeps what stood in its placeholders; along one alignment of
 text and item a value of the item must always have become the same value of the text, otherwise the
-likeness is one of form only and the alignment is dropped. A text is contaminated by an item when
-its consistent alignments hold at least half of the item's windows.
+likeness is one of form only and the windows that hold the value are dropped. A text is contaminated
+by an item when the windows left are at least half of the item's.
+
+An item's first word opens a sentence, where a capital tells nothing; if it has one, the first window
+also stands with a name there, which must then be the same word in the text. So a copy of an item as
+it is meets all of its windows. An item of which every window is mostly placeholders has windows of
+the words themselves instead; a text that holds all of them in one alignment holds the item.
 
 The benchmark's window hashes go to the scanning tasks as a bitmap of fixed size, which decides
 which windows leave the scan; the join decides on the whole hash. With a large benchmark the bitmap
 fills up and more windows reach the join, none is lost.
 
 Defined results: null or empty texts and items match nothing; an item of fewer than eight words is
-compared as one window of its length; a window needs half of its words outside placeholders; rows
-with equal or null ids give a row each; empty tables give no rows; only the named columns are read.
+compared as one window of its length; a template's window needs half of its words outside
+placeholders, and an item without such a window is only matched as it is; rows with equal or null ids give a row each; empty tables give no rows; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -39,6 +44,8 @@ UNITS = set(
 )
 TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[.!?\n]")
 NUMBER, UNIT, NAME = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: Tells hashes of the words themselves from those of templates.
+AS_IS = np.uint64(0x27D4EB2F165667C5)
 LITERAL, IS_NUMBER, IS_UNIT, CAPITAL, END = range(5)
 KEPT_WORDS = 400_000
 
@@ -76,20 +83,20 @@ class _Vocabulary:
 _vocabulary = _Vocabulary()
 
 
-def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Words, their template hashes, and which of them are placeholders."""
+def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, their template hashes, which of them are placeholders, and the words' own hashes."""
     found = TOKEN.findall(text)
     if not found:
-        return [], np.empty(0, np.uint64), np.empty(0, bool)
+        return [], np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.uint64)
     at = _vocabulary(found)
-    codes, kinds = _vocabulary.hash[at], _vocabulary.kind[at]
+    own, kinds = _vocabulary.hash[at], _vocabulary.kind[at]
     end = kinds == END
     opens = np.concatenate([[True], end[:-1]])
     name = (kinds == CAPITAL) & ~opens
-    codes = np.where(kinds == IS_NUMBER, NUMBER, np.where(kinds == IS_UNIT, UNIT, np.where(name, NAME, codes)))
+    codes = np.where(kinds == IS_NUMBER, NUMBER, np.where(kinds == IS_UNIT, UNIT, np.where(name, NAME, own)))
     slot = (kinds == IS_NUMBER) | (kinds == IS_UNIT) | name
     kept = np.flatnonzero(~end)
-    return [found[i] for i in kept], codes[kept], slot[kept]
+    return [found[i] for i in kept], codes[kept], slot[kept], own[kept]
 
 
 def windows(codes: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,20 +118,30 @@ def _slots(words: list[str], slot: np.ndarray, at: int, n: int) -> list[str]:
 
 
 WINDOWS = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("slots", pa.list_(pa.string()))])
+#: Windows of an item: templates, the first one with a name in front, the words themselves.
+TEMPLATE, NAMED, VERBATIM = range(3)
+ITEM_WINDOWS = WINDOWS.append(pa.field("kind", pa.int32()))
 
 
 def _item_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            words, codes, slot = template(text or "")
+            words, codes, slot, own = template(text or "")
             n = min(WORDS, len(words))
             hashed, good = windows(codes, slot, n)
-            rows += [{"id": key, "hash": int(hashed[i].astype(np.int64)), "place": int(i), "n": n, "slots": _slots(words, slot, i, n)} for i in np.flatnonzero(good)]
-        yield pa.RecordBatch.from_pylist(rows, WINDOWS)
-
-
-def _text_windows(bitmap, lengths: list[int]):
+            # a copy of an item as it is has all of its templates; only an item without any needs its words
+            verbatim = [] if good.any() else windows(own, slot, n)[0] ^ AS_IS
+            rows += [{"id": key, "hash": int(hashed[i].astype(np.int64)), "place": int(i), "n": n, "slots": _slots(words, slot, i, n), "kind": TEMPLATE} for i in np.flatnonzero(good)]
+            rows += [{"id": key, "hash": int(h.astype(np.int64)), "place": i, "n": n, "slots": [], "kind": VERBATIM} for i, h in enumerate(verbatim)]
+            if n and good[0] and not slot[0] and words[0][0].isupper():
+                codes[0], slot[0] = NAME, True
+                first = windows(codes[:n], slot[:n], n)[0][0]
+                rows.append({"id": key, "hash": int(first.astype(np.int64)), "place": 0, "n": n, "slots": _slots(words, slot, 0, n), "kind": NAMED})
+        yield pa.RecordBatch.from_pylist(rows, ITEM_WINDOWS)
+
+
+def _text_windows(bitmap, lengths: list[tuple[int, bool]]):
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
@@ -132,12 +149,13 @@ def _text_windows(bitmap, lengths: list[int]):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if not text.is_valid:
                     continue
-                words, codes, slot = template(text.as_py())
-                for n in lengths:
-                    hashed, good = windows(codes, slot, n)
+                words, codes, slot, own = template(text.as_py())
+                for n, verbatim in lengths:
+                    # which windows have enough words of their own the item's side decides
+                    hashed = windows(own, slot, n)[0] ^ AS_IS if verbatim else windows(codes, slot, n)[0]
                     cell = (hashed >> np.uint64(64 - BITS)).astype(np.int64)
-                    for i in np.flatnonzero((bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool) & good):
-                        rows.append({"id": key, "hash": int(hashed[i].astype(np.int64)), "place": int(i), "n": n, "slots": _slots(words, slot, i, n)})
+                    for i in np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1):
+                        rows.append({"id": key, "hash": int(hashed[i].astype(np.int64)), "place": int(i), "n": n, "slots": [] if verbatim else _slots(words, slot, i, n)})
                     if len(rows) > 20_000:
                         yield pa.RecordBatch.from_pylist(rows, WINDOWS)
                         rows = []
@@ -148,15 +166,16 @@ def _text_windows(bitmap, lengths: list[int]):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", cover: float = COVER) -> DataFrame:
     """``(row, doc_id, item_id, n_windows, item_windows, coverage, same_values, first_word)`` for
-    each row of ``docs`` and item whose consistent windows reach ``cover``. ``row`` numbers the rows
-    of ``docs`` in the order they are read."""
+    each row of ``docs`` and item whose consistent windows reach ``cover``, or that stands in the text
+    as it is. ``row`` numbers the rows of ``docs`` in the order they are read."""
     spark = docs.sparkSession
     schema = "id long, hash long, place int, n int, slots array<string>"
     # items, too, are told apart by row; an id may be null or stand twice
     items = benchmark.select(F.monotonically_increasing_id().alias("item_row"), as_long(item).alias("item"), F.col(f"`{item_text}`").cast("string").alias("text"))
     items = written(items, "benchmark-items")
-    held = written(items.select("item_row", "text").mapInArrow(_item_windows, schema), "benchmark-windows")
-    lengths = sorted(r["n"] for r in held.select("n").distinct().collect())  # eight at most
+    held = written(items.select("item_row", "text").mapInArrow(_item_windows, schema + ", kind int"), "benchmark-windows")
+    verbatim = F.col("kind") == VERBATIM
+    lengths = sorted(map(tuple, held.select("n", verbatim).distinct().collect()))  # sixteen at most
     cells = held.select(F.shiftrightunsigned("hash", 64 - BITS).cast("int").alias("cell")).distinct().toPandas()["cell"].to_numpy()
     bitmap = np.zeros(1 << (BITS - 3), np.uint8)
     np.bitwise_or.at(bitmap, cells >> 3, (1 << (cells & 7)).astype(np.uint8))
@@ -164,23 +183,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     hits = rows.select(F.struct("row", "doc_id").alias("id"), "text").mapInArrow(
         _keyed(_text_windows(spark.sparkContext.broadcast(bitmap), lengths)), schema.replace("id long", "id struct<row:bigint,doc_id:bigint>", 1)
     )
-    totals = held.groupBy("id").agg(F.count("*").alias("item_windows"))
-    there = held.select(F.col("id").alias("item_row"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"))
+    totals = held.groupBy(F.col("id").alias("item_row"), verbatim.alias("verbatim")).agg(F.countDistinct("place").alias("item_windows"))
+    there = held.select(F.col("id").alias("item_row"), "hash", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "kind")
     met = hits.join(F.broadcast(there) if held.count() <= BROADCAST_ROWS else there, "hash")
+    met = met.filter((F.col("kind") != NAMED) | (F.lower(F.get("slots", F.lit(0))) == F.lower(F.get("item_slots", F.lit(0)))))
     swaps = F.arrays_zip(F.col("item_slots").alias("item"), F.col("slots").alias("text"))
-    aligned = met.groupBy("id", "item_row", (F.col("place") - F.col("item_place")).alias("diagonal")).agg(
-        F.collect_set("item_place").alias("places"), F.min("place").alias("place"),
+    aligned = met.groupBy("id", "item_row", verbatim.alias("verbatim"), (F.col("place") - F.col("item_place")).alias("diagonal")).agg(
+        F.collect_set(F.struct("item_place", "place", swaps.alias("swaps"))).alias("windows"),
         F.array_distinct(F.flatten(F.collect_set(swaps))).alias("swaps"),
     )
-    consistent = F.size(F.array_distinct(F.transform("swaps", lambda x: x["item"]))) == F.size("swaps")
+    # values of the item that have become several values of the text
+    values = F.transform("swaps", lambda x: x["item"])
+    unlike = F.filter(F.array_distinct(values), lambda v: F.size(F.filter("swaps", lambda x: x["item"] == v)) > 1)
+    kept = F.filter("windows", lambda w: ~F.exists(w["swaps"], lambda x: F.array_contains(F.col("unlike"), x["item"])))
+    aligned = aligned.withColumn("unlike", unlike).withColumn("windows", kept).filter(F.size("windows") > 0).join(totals, ["item_row", "verbatim"])
+    # words as they are count only in an alignment that holds the whole item
+    whole = ~F.col("verbatim") | (F.size(F.array_distinct(F.transform("windows", lambda w: w["item_place"]))) == F.col("item_windows"))
     found = (
-        aligned.filter(consistent).groupBy("id", "item_row")
+        aligned.filter(whole).groupBy("id", "item_row", "item_windows")
         .agg(
-            F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"),
-            F.min("place").cast("long").alias("first_word"),
+            F.size(F.array_distinct(F.flatten(F.collect_list(F.transform("windows", lambda w: w["item_place"]))))).cast("long").alias("n_windows"),
+            F.min(F.array_min(F.transform("windows", lambda w: w["place"]))).cast("long").alias("first_word"),
             F.bool_and(F.forall("swaps", lambda x: x["item"] == x["text"])).alias("same_values"),
         )
-        .join(totals.withColumnRenamed("id", "item_row"), "item_row")
         .filter(F.col("n_windows") >= cover * F.col("item_windows"))
         .join(items.select("item_row", "item"), "item_row")
     )

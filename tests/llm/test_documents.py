@@ -276,3 +276,15 @@ def test_pairs_at_the_threshold_stay_together_at_the_last_depth():
             nodes = sum(paths[i] == ways[i] for _ in range(nodes) for i in set(rng.integers(0, near_duplicates.PATHS, 1 + (rng.random() < two)).tolist()))
         met += nodes > 0
     assert met >= 297
+
+
+def test_verbatim_items_are_found(spark):
+    long = "A farmer who lives near the old river sells 12 baskets of apples on every market day and keeps the money in a box under the floor until his daughter counts the 12 coins that remain after paying for the repair of the roof and for a new wooden door"
+    items = [(1, "Compute 12 * 34 + 56"), (2, "What is the capital of France"), (3, long), (4, "The Old Man And The Sea By Ernest Hemingway In Paris")]
+    docs = [
+        (1, "Please compute. Compute 12 * 34 + 56 now"), (2, "Question: What is the capital of France? Paris."), (3, "Read this. " + long.replace("12", "13", 1)),
+        (4, "We like The Old Man And The Sea By Ernest Hemingway In Paris most"), (5, "Compute the sum of 12 and 34"), (6, "Question: What is the capital of Spain?"),
+        (7, "Then Where is the capital of France"),
+    ]
+    out = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.same_values) for r in out) == [(1, 1, True), (2, 2, True), (3, 3, False), (4, 4, True), (6, 2, False)]
