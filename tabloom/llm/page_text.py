@@ -5,9 +5,8 @@ Of its two neighbours in the host the one with the longer common path is its par
 the one before; a neighbour with the same lines is a copy and no partner). The text lines of both
 are aligned by longest common subsequence and lines they share are deleted: they belong to the
 site. Lines the page itself marks as its article are kept also when shared, since pages of a site
-quote the same passages, and in a page that marks an article nothing else is its text; lines in
-menus, footers, forms, adverts, comments and the like are dropped by their marks. So differencing
-decides on lines that carry no mark.
+quote the same passages; lines in menus, footers, forms, adverts, comments and the like are dropped
+by their marks. So differencing decides on lines that carry no mark, beside an article as well.
 
 Defined results: null or empty html gives an empty text; a page without a host, or alone on its
 host, has no partner and only loses marked lines; rows with null or repeated ids and urls give a
@@ -188,8 +187,7 @@ def shared(a: list, b: list) -> set[int]:
 
 def main_text(lines: list[str], marks: list[int], prints: list[int], partner: list[int] | None) -> str:
     both = shared(prints, partner) if partner else set()
-    marked = ARTICLE in marks
-    return "\n".join(t for i, (t, m) in enumerate(zip(lines, marks)) if m == ARTICLE or (m == PLAIN and not marked and i not in both))
+    return "\n".join(t for i, (t, m) in enumerate(zip(lines, marks)) if m == ARTICLE or (m == PLAIN and i not in both))
 
 
 def _common(a: list[str], b: list[str]) -> int:

@@ -51,3 +51,10 @@ def test_pages(spark):
     want = [("1", "one & story"), ("2", "another story"), ("3", "T\nkept line\nnext"), ("3", "T\nkept line\nnext"), ("4", ""), ("5", "only <b>"), ("None", "")]
     assert got == [(k, t, len(t)) for k, t in want]
     assert page_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_unmarked_body_beside_a_marked_teaser(spark):
+    html = "<div><p>Menu</p></div><article><p>Read also</p></article><div class='content'><p>{}</p><p>{}</p></div>"
+    rows = [(i, f"http://a.org/{i}", html.format(f"story {i}", f"end {i}")) for i in range(2)]
+    got = {r.key: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Read also\nstory {i}\nend {i}" for i in range(2)}
