@@ -1,8 +1,11 @@
 """Main text of web pages, by differencing each page with the page of its host whose URL is nearest.
 
-Pages are put in order of host and path, where the nearest path of every page stands next to it.
-Of its two neighbours in the host the one with the longer common path is its partner (a tie goes to
-the one before; a neighbour with the same lines is a copy and no partner). The text lines of both
+Equal pages of a host count once, at the first of their paths. These distinct pages are put in order
+of host and path, where the nearest path of every page stands next to it. Neighbours that have
+almost all lines in common are a run of near copies, which would delete each other's text; of the
+nearest pages before and after its run the one with the longer common path is a page's partner (a
+tie goes to the one before). A run that fills its host has no such pages: there the next pages inside
+the run stand in. The text lines of both
 are aligned by longest common subsequence and lines they share are deleted: they belong to the
 site. Lines the page itself marks as its article are kept also when shared, since pages of a site
 quote the same passages; lines in menus, footers, forms, adverts, comments and the like are dropped
@@ -40,6 +43,8 @@ MARKED = re.compile(
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"}
 SPACES = re.compile(r"\s+")
 PLAIN, ARTICLE, SITE = 0, 1, 2
+#: Share of the distinct lines of the longer of two pages that near copies have in common.
+NEAR_COPY = 0.8
 
 
 class _Lines(HTMLParser):
@@ -203,33 +208,68 @@ def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.select(["path", "lines", "marks", "prints", "near"]).to_pylist():
             best, partner = -1, None
             for near in row["near"]:
-                if near["prints"] != row["prints"] and _common(near["path"], row["path"]) > best:
+                if _common(near["path"], row["path"]) > best:
                     best, partner = _common(near["path"], row["path"]), near["prints"]
             texts.append(main_text(row["lines"], row["marks"], row["prints"], partner))
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "text"])
 
 
+def _partners(distinct: DataFrame) -> DataFrame:
+    """``(same, path, near)`` of the distinct pages: up to two pages that may be a page's partner."""
+    keys = ["host", "path", "same"]
+    ordered = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # the written order numbers the pages: ranges by part, rows by their place in it
+    numbered = written(ordered.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()), "page-order")
+    sizes = numbered.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    offsets = sizes.select("part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    placed = numbered.join(offsets, "part").withColumn("id", F.col("id") + F.col("shift")).drop("shift")
+    # a run begins where the page before is of another host or no near copy
+    sent = placed.select("id", F.struct("host", "path", "prints").alias("page"))
+    paired = placed.join(sent.select((F.col("id") + 1).alias("id"), F.col("page").alias("before")), "id", "left")
+    opens = F.col("before").isNull() | (F.col("before.host") != F.col("host"))
+    longer = F.greatest(F.size(F.array_distinct("prints")), F.size(F.array_distinct("before.prints")))
+    unlike = F.size(F.array_intersect("prints", "before.prints")) < NEAR_COPY * longer
+    marked = paired.select("id", "part", F.when(opens | unlike, F.struct("id", opens.alias("opens"))).alias("start"))
+    marked = written(marked, "page-runs")
+    # where its run began and the next begins: in its own part, or in the nearest part with a beginning
+    ends = marked.groupBy("part").agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    ends = ends.select("part", F.max("high").over(earlier).alias("high"), F.min("low").over(later).alias("low"))
+    inside = Window.partitionBy("part").orderBy("id")
+    runs = marked.join(ends, "part").select(
+        "id",
+        F.coalesce(F.max("start").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "high").alias("run"),
+        F.coalesce(F.min("start").over(inside.rowsBetween(1, Window.unboundedFollowing)), "low").alias("next"),
+    )
+    before = F.when(~F.col("run.opens"), F.col("run.id") - 1)
+    after = F.when(~F.col("next.opens"), F.col("next.id"))
+    alone = before.isNull() & after.isNull()
+    wanted = runs.select(
+        "id",
+        F.when(alone & (F.col("id") > F.col("run.id")), F.col("id") - 1).otherwise(before).alias("left"),
+        F.when(alone & F.coalesce(F.col("id") + 1 < F.col("next.id"), F.lit(True)), F.col("id") + 1).otherwise(after).alias("right"),
+    )
+    near = F.filter(F.array("before", "after"), lambda x: x.isNotNull() & (F.col("host") != ""))
+    return (
+        placed.join(wanted, "id")
+        .join(sent.select(F.col("id").alias("left"), F.col("page").alias("before")), "left", "left")
+        .join(sent.select(F.col("id").alias("right"), F.col("page").alias("after")), "right", "left")
+        .select("same", "path", near.alias("near"))
+    )
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(key, url, text, n_chars)`` for every page."""
     rows = pages.select(F.struct(as_long(key).alias("key"), F.col(f"`{url}`").cast("string").alias("url")).alias("key"), F.col(f"`{html}`").cast("string").alias("html"))
-    keys = ["host", "path", "key", "prints"]
     # lines meet the neighbours' as 64-bit hashes; the text itself stays with its page
     parsed = rows.mapInArrow(_parsed, LINES).withColumn("prints", F.transform("lines", lambda x: F.xxhash64(x)))
-    ordered = parsed.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    # the written order numbers the pages: ranges by part, rows by their place in it
-    kept = written(ordered.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()), "page-lines")
-    sizes = kept.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("part", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    placed = kept.join(offsets, "part").withColumn("id", F.col("id") + F.col("shift")).drop("part", "shift")
-    # and each page is a neighbour of the numbers before and after
-    sent = placed.select("id", F.struct("host", "path", "prints").alias("near"))
-    met = (
-        placed.join(sent.select((F.col("id") + 1).alias("id"), F.col("near").alias("before")), "id", "left")
-        .join(sent.select((F.col("id") - 1).alias("id"), F.col("near").alias("after")), "id", "left")
-    )
-    same_host = F.filter(F.array("before", "after"), lambda x: x.isNotNull() & (x["host"] == F.col("host")) & (F.col("host") != ""))
-    done = met.select("key", "path", "lines", "marks", "prints", same_host.alias("near")).mapInArrow(_extracted, "key struct<key:bigint,url:string>, text string")
+    same = F.md5(F.concat_ws(",", "host", F.array_join(F.col("prints").cast("array<string>"), ",")))
+    kept = written(parsed.withColumn("same", same), "page-lines")
+    distinct = kept.groupBy("same").agg(F.min(F.struct("host", "path", "prints")).alias("page")).select("same", "page.*")
+    partners = _partners(distinct).withColumnRenamed("path", "place")
+    met = kept.drop("path", "host").join(partners, "same")
+    done = met.select("key", F.col("place").alias("path"), "lines", "marks", "prints", "near").mapInArrow(_extracted, "key struct<key:bigint,url:string>, text string")
     return done.select("key.*", "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -58,3 +58,12 @@ def test_unmarked_body_beside_a_marked_teaser(spark):
     rows = [(i, f"http://a.org/{i}", html.format(f"story {i}", f"end {i}")) for i in range(2)]
     got = {r.key: r.text for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Read also\nstory {i}\nend {i}" for i in range(2)}
+
+
+def test_copies_and_near_copies_get_the_text_of_their_page(spark):
+    story = [f"line {i} of the story" for i in range(12)]
+    rows = [(i, f"http://a.org/b/{i}", page("Home", *story, "Contact")) for i in range(4)]
+    rows += [(i, f"http://a.org/c/{i}", page("Home", *story, f"seen {i} times", "Contact")) for i in range(4, 7)]
+    rows += [(9, "http://a.org/z", page("Home", "another story", "Contact")), (10, "http://b.org/1", page("Home", "alone"))]
+    got = {r.key: r.text.split("\n") for r in page_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: story for i in range(4)} | {i: [*story, f"seen {i} times"] for i in range(4, 7)} | {9: ["another story"], 10: ["Home", "alone"]}
