@@ -1,24 +1,51 @@
 """Joining two tables on one shared column.
 
-Catalyst broadcasts a side it knows to be small and AQE splits skewed
-partitions of inner, left and right joins at run time. A full outer join cannot
-be split that way, so there a sample looks for hot keys first. Hot keys, found
-or given, are spread over ``SALTS`` buckets: rows of the crowded side get one
-bucket, the few partner rows are repeated in each.
+Catalyst broadcasts a side it knows to be small and AQE splits skewed partitions at run time, but only
+of a side whose unmatched rows the join keeps or drops one by one: both sides of an inner join, the left
+side of a left join, the right side of a right join, none of a full outer join. For the other sides hot
+keys are looked for first: frequency sketches of the key, merged in two steps, name the keys that can be
+hot, an exact count of those decides, and the result is a small table of key hashes and buckets.
+
+Rows of a hot key are dealt over its buckets, the partner rows are repeated in each. Equal rows would
+fall into one bucket, so rows of hot keys are collapsed to (row, n) first, n is dealt over the buckets,
+and the copies are made again after the join. Buckets are hashes of rows, so a task that runs again deals
+alike. The table decides speed only: any table, also one of other data, gives the same join.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.functions.columns import DuplicateColumn, MissingColumn, col, field_type, is_numeric
+from tabloom.functions.scratch import written
 
 SALTS = 64
 JOIN_TYPES = ("inner", "left", "right", "outer")
-SAMPLE = 0.01
-HOT_SAMPLED = 10_000  # sampled rows of one key that make it hot: about a million rows
+#: Sides whose hot keys AQE cannot split.
+UNSPLIT = {"inner": (), "left": ("right",), "right": ("left",), "outer": ("left", "right")}
+BUCKET_ROWS = 1_000_000  # rows of a bucket; a key with more is hot
+#: A sketch of so many items finds every key with 1/2000 of a side's rows or more; rarer keys are no
+#: larger than a part of a shuffle should be. So many keys are at most listed for a side.
+TRACKED, LISTED = 8_192, 4_000
+SKETCHES = 64  # sketches of tasks are merged in so many groups first
+
+_HASH, _L, _R, _SALTS, _EQUAL, _TURN = (f"__tabloom_{n}" for n in ("hash", "l", "r", "salts", "equal", "turn"))
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Tables ``(hash, salts)`` of the hot keys of either side, None where there is none.
+
+    ``hash`` is ``xxhash64`` of the key as ``key_type``; a null key has one too."""
+
+    key_type: T.DataType
+    left: DataFrame | None = None
+    right: DataFrame | None = None
 
 
 def merge(
@@ -26,14 +53,15 @@ def merge(
     right: DataFrame,
     join_column: str,
     join_type: str = "inner",
-    hot_keys: dict[str, list[Any]] | None = None,
+    hot_keys: HotKeys | dict[str, list[Any]] | None = None,
     salts: int = SALTS,
 ) -> DataFrame:
     """Equi-join on ``join_column``; null keys never match, an outer key is coalesced.
 
-    Columns keep the left order, then the right order; a right column whose name
-    the left table already has gets the suffix ``_right``. ``hot_keys`` may name
-    the crowded keys of either side as ``{"left": [...], "right": [...]}``, null included.
+    Columns keep the left order, then the right order; a right column whose name the left table already
+    has gets the suffix ``_right``. Without ``hot_keys`` those AQE cannot split are looked for (a job over
+    the keys); a result of ``find_hot_keys`` saves that job, and ``{"left": [...], "right": [...]}`` names
+    keys, null included, to be dealt over ``salts`` buckets. Streams are joined as they come.
     """
     if join_type not in JOIN_TYPES:
         raise ValueError(f"unknown join type '{join_type}'; choose one of {JOIN_TYPES}")
@@ -41,10 +69,14 @@ def merge(
     right = _suffix_collisions(left, right, join_column)
     names = left.columns + [c for c in right.columns if c != join_column]
 
-    if hot_keys is None and join_type == "outer":
-        hot_keys = find_hot_keys(left, right, join_column)
-    if hot_keys and any(hot_keys.values()):
-        joined = _salted(left, right, join_column, join_type, hot_keys, salts)
+    if left.isStreaming or right.isStreaming:
+        hot_keys = {}
+    if hot_keys is None:
+        hot_keys = find_hot_keys(left, right, join_column, UNSPLIT[join_type])
+    elif isinstance(hot_keys, dict):
+        hot_keys = _named_keys(left, right, join_column, hot_keys, salts)
+    if hot_keys.left is not None or hot_keys.right is not None:
+        joined = _salted(left, right, join_column, join_type, hot_keys)
     else:
         joined = left.join(right, on=[join_column], how=join_type)
     return joined.select(*[col(c) for c in names])
@@ -70,80 +102,147 @@ def _suffix_collisions(left: DataFrame, right: DataFrame, key: str) -> DataFrame
     return right.withColumnsRenamed(renamed)
 
 
-def find_hot_keys(left: DataFrame, right: DataFrame, key: str) -> dict[str, list[Any]]:
-    """Keys with about a million rows or more, by a sampled count; null may be one.
+def _common_type(left: DataFrame, right: DataFrame, key: str) -> T.DataType:
+    """The type in which a join compares the keys."""
+    nulls = [F.lit(None).cast(field_type(df, key)) for df in (left, right)]
+    return left.sparkSession.range(0).select(F.coalesce(*nulls).alias("key")).schema["key"].dataType
 
-    Only speed depends on what the sample sees. At most a thousand, the largest,
-    are kept; the rest is left to the ordinary shuffle.
-    """
-    keys = [
-        df.select(F.lit(side).alias("side"), col(key).alias("key")).sample(SAMPLE, seed=7)
-        for side, df in (("left", left), ("right", right))
-    ]
-    rows = (
-        keys[0]
-        .unionByName(keys[1])
-        .groupBy("side", "key")
-        .count()
-        .filter(F.col("count") >= HOT_SAMPLED)
-        .orderBy(F.desc("count"))
-        .limit(1_000)
-        .collect()
-    )
-    return {side: [r["key"] for r in rows if r["side"] == side] for side in ("left", "right")}
 
+def _key_hash(key: str, key_type: T.DataType) -> Column:
+    return F.xxhash64(col(key).cast(key_type))
 
-def _salted(
-    left: DataFrame, right: DataFrame, key: str, join_type: str, hot: dict[str, list[Any]], salts: int
-) -> DataFrame:
-    crowded_left, crowded_right = hot.get("left") or [], hot.get("right") or []
-    matching_left, matching_right = ([v for v in c if v is not None] for c in (crowded_left, crowded_right))
-    a = _repeat(_spread(left, key, crowded_left, "__l", salts), key, matching_right, "__r", salts)
-    b = _repeat(_spread(right, key, crowded_right, "__r", salts), key, matching_left, "__l", salts)
+
+def _broadcast_by_size(df: DataFrame) -> bool:
+    """Whether the planner takes the side for small enough to be broadcast, by its own estimate."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    bytes_ = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= bytes_
+
+
+def find_hot_keys(
+    left: DataFrame, right: DataFrame, key: str, sides: Collection[str] = ("left", "right"), bucket_rows: int | None = None
+) -> HotKeys:
+    """Keys with more than ``bucket_rows`` rows on a side, null included, counted exactly among those
+    the sketches name. A single side that the planner is going to broadcast is not looked at."""
+    _check_key(left, right, key)
+    bucket_rows = bucket_rows or BUCKET_ROWS
+    key_type = _common_type(left, right, key)
+    asked = {side: df for side, df in (("left", left), ("right", right)) if side in sides}
+    if not asked or len(asked) == 1 and _broadcast_by_size(*asked.values()):
+        return HotKeys(key_type)
+    hashes = reduce(
+        DataFrame.unionByName,
+        [df.select(F.lit(side).alias("side"), _key_hash(key, key_type).alias("hash")) for side, df in asked.items()],
+    )
+    merged = (
+        hashes.withColumn("group", F.spark_partition_id() % SKETCHES)
+        .groupBy("side", "group").agg(F.expr(f"approx_top_k_accumulate(hash, {TRACKED})").alias("sketch"))
+        .groupBy("side").agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
+    )
+    listed = merged.select("side", F.explode(F.expr(f"approx_top_k_estimate(sketch, {LISTED})")).alias("item"))
+    likely = written(listed.filter(F.col("item.count") > bucket_rows).select("side", F.col("item.item").alias("hash")), "likely-keys")
+    if likely.isEmpty():
+        return HotKeys(key_type)
+    counted = hashes.join(F.broadcast(likely), ["side", "hash"], "left_semi").groupBy("side", "hash").count()
+    hot = written(counted.filter(F.col("count") > bucket_rows).select("side", "hash", F.ceil(F.col("count") / bucket_rows).alias("salts")), "hot-keys")
+    found = {r["side"] for r in hot.select("side").distinct().collect()}
+    return HotKeys(key_type, **{s: hot.filter(F.col("side") == s).select("hash", "salts") for s in found})
+
+
+def _named_keys(left: DataFrame, right: DataFrame, key: str, named: dict[str, list[Any]], salts: int) -> HotKeys:
+    """The table of keys a caller has listed, each with the same number of buckets."""
+    key_type, spark = _common_type(left, right, key), left.sparkSession
+    tables = {}
+    for side, values in named.items():
+        if values:
+            rows = spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("key", key_type)]))
+            tables[side] = rows.select(_key_hash("key", key_type).alias("hash"), F.lit(salts).cast("bigint").alias("salts")).distinct()
+    return HotKeys(key_type, **tables)
+
+
+def _salted(left: DataFrame, right: DataFrame, key: str, join_type: str, hot: HotKeys) -> DataFrame:
+    a = _repeated(_dealt(left, key, hot, hot.left, _L), key, hot, hot.right, _R)
+    b = _repeated(_dealt(right, key, hot, hot.right, _R), key, hot, hot.left, _L)
 
     # the join itself can keep the unmatched rows of a side it does not repeat
     kept = "inner"
-    if join_type in ("left", "outer") and not matching_right:
+    if join_type in ("left", "outer") and hot.right is None:
         kept = "left"
-    elif join_type in ("right", "outer") and not matching_left:
+    elif join_type in ("right", "outer") and hot.left is None:
         kept = "right"
-    joined = a.join(b, on=[key, "__l", "__r"], how=kept).drop("__l", "__r")
+    joined = a.join(b, on=[key, _L, _R], how=kept)
+    for name, table in ((_L, hot.left), (_R, hot.right)):
+        joined = _expanded(joined, name) if table is not None else joined
+    joined = joined.drop(_L, _R)
     if join_type in ("left", "outer") and kept != "left":
-        alone = _without_partner(left, right, key, matching_left, salts)
-        joined = joined.unionByName(alone, allowMissingColumns=True)
+        joined = joined.unionByName(_without_partner(left, right, key, hot, hot.left), allowMissingColumns=True)
     if join_type in ("right", "outer") and kept != "right":
-        alone = _without_partner(right, left, key, matching_right, salts)
-        joined = joined.unionByName(alone, allowMissingColumns=True)
+        joined = joined.unionByName(_without_partner(right, left, key, hot, hot.right), allowMissingColumns=True)
     return joined
 
 
-def _among(df: DataFrame, key: str, values: list[Any]) -> Column:
-    known = [F.lit(v) for v in values if v is not None]  # compared in the wider type
-    found = F.coalesce(col(key).isin(*known), F.lit(False)) if known else F.lit(False)
-    return found | col(key).isNull() if None in values else found
+def _marked(df: DataFrame, key: str, hot: HotKeys, table: DataFrame) -> DataFrame:
+    """``df`` with the number of buckets of its key, null if the key is not hot."""
+    named = table.select(F.col("hash").alias(_HASH), F.col("salts").alias(_SALTS))
+    # at most LISTED rows
+    return df.withColumn(_HASH, _key_hash(key, hot.key_type)).join(F.broadcast(named), _HASH, "left").drop(_HASH)
+
+
+def _groupable(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.ArrayType):
+        return _groupable(data_type.elementType)
+    if isinstance(data_type, T.StructType):
+        return all(_groupable(f.dataType) for f in data_type.fields)
+    return not isinstance(data_type, (T.MapType, T.VariantType))
+
+
+def _dealt(df: DataFrame, key: str, hot: HotKeys, table: DataFrame | None, name: str) -> DataFrame:
+    """``df`` with a bucket; rows of hot keys are collapsed, and ``<name>_n`` is the number of equal
+    rows that a row stands for in its bucket."""
+    if table is None:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    marked = _marked(df, key, hot, table)
+    copies = f"{name}_n"
+    cold = marked.filter(F.col(_SALTS).isNull()).drop(_SALTS).withColumns({name: F.lit(0).cast("bigint"), copies: F.lit(1).cast("bigint")})
+    plain = [f.name for f in df.schema.fields if _groupable(f.dataType)]
+    rest = [c for c in df.columns if c not in plain]
+    # columns that cannot be grouped are compared by their text
+    as_text = {f"{_EQUAL}_{i}": F.to_json(F.struct(col(c)), {"ignoreNullFields": "false"}) for i, c in enumerate(rest)}
+    equal = (
+        marked.filter(F.col(_SALTS).isNotNull()).withColumns(as_text)
+        .groupBy(*[col(c) for c in plain], *as_text, _SALTS)
+        .agg(F.count(F.lit(1)).alias(_EQUAL), *[F.any_value(col(c)).alias(c) for c in rest])
+    )
+    first = F.xxhash64(*[col(c) for c in plain], *[F.col(c) for c in as_text])
+    used = F.least(F.col(_EQUAL), F.col(_SALTS))
+    turns = equal.withColumn(_HASH, first).withColumn(_TURN, F.explode(F.sequence(F.lit(0).cast("bigint"), used - 1)))
+    share = F.floor(F.col(_EQUAL) / used) + F.when(F.col(_TURN) < F.col(_EQUAL) % used, 1).otherwise(0)
+    bucket = F.pmod(F.pmod(F.col(_HASH), F.col(_SALTS)) + F.col(_TURN), F.col(_SALTS))
+    hot_rows = turns.select(*[col(c) for c in df.columns], bucket.alias(name), share.cast("bigint").alias(copies))
+    return cold.select(*hot_rows.columns).unionByName(hot_rows)
 
 
-def _spread(df: DataFrame, key: str, values: list[Any], name: str, salts: int) -> DataFrame:
-    """A bucket of its own for each row of a crowded key, bucket 0 for the others."""
-    # a hash of the row, not a random number: a recomputed task salts alike
-    hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    bucket = F.pmod(F.xxhash64(*[col(c) for c in hashable]), F.lit(salts)).cast("int")
-    return df.withColumn(name, F.when(_among(df, key, values), bucket).otherwise(F.lit(0)) if values else F.lit(0))
+def _repeated(df: DataFrame, key: str, hot: HotKeys, table: DataFrame | None, name: str) -> DataFrame:
+    """The rows that meet a hot key of the other side once per bucket, the others once."""
+    if table is None:
+        return df.withColumn(name, F.lit(0).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    every = F.when(col(key).isNotNull() & F.col(_SALTS).isNotNull(), F.sequence(zero, F.col(_SALTS) - 1)).otherwise(F.array(zero))
+    return _marked(df, key, hot, table).withColumn(name, F.explode(every)).drop(_SALTS)
 
 
-def _repeat(df: DataFrame, key: str, values: list[Any], name: str, salts: int) -> DataFrame:
-    """The rows that meet a crowded key once per bucket, the others once."""
-    if not values:
-        return df.withColumn(name, F.lit(0))
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    return df.withColumn(name, F.explode(F.when(_among(df, key, values), every).otherwise(F.array(F.lit(0)))))
+def _expanded(df: DataFrame, name: str) -> DataFrame:
+    """Each row as often as it stands for; rows without that side stand for themselves."""
+    times = F.coalesce(F.col(f"{name}_n"), F.lit(1))
+    return df.withColumn(_TURN, F.explode(F.sequence(F.lit(1).cast("bigint"), times))).drop(_TURN, f"{name}_n")
 
 
-def _without_partner(df: DataFrame, other: DataFrame, key: str, crowded: list[Any], salts: int) -> DataFrame:
+def _without_partner(df: DataFrame, other: DataFrame, key: str, hot: HotKeys, table: DataFrame | None) -> DataFrame:
     # null keys have no partner by definition, so they skip the shuffle
-    keyed = _spread(df.filter(col(key).isNotNull()), key, crowded, "__s", salts)
-    partners = _repeat(other.select(col(key)).distinct(), key, crowded, "__s", salts)
-    alone = keyed.join(partners, on=[key, "__s"], how="left_anti").drop("__s")
+    keyed = _dealt(df.filter(col(key).isNotNull()), key, hot, table, _L)
+    partners = _repeated(other.select(col(key)).distinct(), key, hot, table, _L)
+    alone = keyed.join(partners, on=[key, _L], how="left_anti")
+    alone = (_expanded(alone, _L) if table is not None else alone).drop(_L)
     return alone.unionByName(df.filter(col(key).isNull()))
 
 

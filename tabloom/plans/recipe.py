@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from tabloom.functions.stats import Need, fit
 from tabloom.operators import encode, prepare, project
-from tabloom.operators.merge import merge
+from tabloom.operators.merge import UNSPLIT, HotKeys, find_hot_keys, merge
 
 
 @dataclass(frozen=True)
@@ -115,16 +115,18 @@ def _encode_apply(df: DataFrame, p: dict[str, Any], learned: Any) -> DataFrame:
     return df
 
 
-def _merge_learn(df: DataFrame, p: dict[str, Any], context: Context) -> DataFrame:
+def _merge_learn(df: DataFrame, p: dict[str, Any], context: Context) -> tuple[DataFrame, HotKeys]:
     target = (p["merge_with"], p["merge_version"])
     if target in context.open_merges:
         raise ValueError(f"merge cycle through dataset {target[0]!r}, version {target[1]!r}")
     inner = Context(context.library, (*context.open_merges, target))
-    return _run(context.library.dataset(target[0]), context.library.steps(*target), inner)[0]
+    other = _run(context.library.dataset(target[0]), context.library.steps(*target), inner)[0]
+    return other, find_hot_keys(df, other, p["join_column"], UNSPLIT.get(p["join_type"], ()))
 
 
-def _merge_apply(df: DataFrame, p: dict[str, Any], other: DataFrame) -> DataFrame:
-    return merge(df, other, p["join_column"], p["join_type"])
+def _merge_apply(df: DataFrame, p: dict[str, Any], learned: tuple[DataFrame, HotKeys]) -> DataFrame:
+    other, hot = learned
+    return merge(df, other, p["join_column"], p["join_type"], hot_keys=hot)
 
 
 # The 14 operation types, by the names stored in operation logs

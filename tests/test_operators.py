@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,19 +163,60 @@ def test_merge_with_hot_keys_is_an_ordinary_join(spark, how, hot):
     assert sorted([tuple(r) for r in out.collect()], key=str) == expected_join(LEFT, RIGHT, how)
 
 
+def hot_rows(keys, key="k"):
+    """The hot keys' hashes and buckets, by side."""
+    return {side: {tuple(r) for r in table.collect()} for side, table in (("left", keys.left), ("right", keys.right)) if table is not None}
+
+
+def hash_of(spark, value, kind="bigint"):
+    return spark.range(1).select(F.xxhash64(F.lit(value).cast(kind))).first()[0]
+
+
 def test_find_hot_keys(spark, monkeypatch):
-    monkeypatch.setattr(merge, "SAMPLE", 1.0)
-    monkeypatch.setattr(merge, "HOT_SAMPLED", 30)
+    monkeypatch.setattr(merge, "BUCKET_ROWS", 12)
+    left = spark.createDataFrame(LEFT, "k bigint, a bigint").repartition(3)
+    right = spark.createDataFrame(RIGHT, "k bigint, b bigint")
+    assert hot_rows(merge.find_hot_keys(left, right, "k")) == {"left": {(hash_of(spark, 1), 4)}, "right": {(hash_of(spark, 2), 3)}}
+    for how in merge.JOIN_TYPES:
+        out = merge.merge(left, right, "k", how)
+        assert sorted([tuple(r) for r in out.collect()], key=str) == expected_join(LEFT, RIGHT, how)
+
+
+def test_many_hot_keys_are_all_found(spark):
+    """1,001 hot keys among 100,000 others."""
+    left = spark.range(1001 * 40).selectExpr("id % 1001 AS k").unionAll(spark.range(100_000).selectExpr("id + 5000 AS k"))
+    right = spark.createDataFrame([(1,)], "k bigint")
+    assert merge.find_hot_keys(left, right, "k", bucket_rows=39).left.count() == 1001
+
+
+@pytest.mark.parametrize("how", merge.JOIN_TYPES)
+def test_hot_keys_of_other_rows_change_nothing(spark, how):
+    """A table learnt elsewhere names keys that one side or both sides lack here."""
     left = spark.createDataFrame(LEFT, "k bigint, a bigint")
     right = spark.createDataFrame(RIGHT, "k bigint, b bigint")
-    assert merge.find_hot_keys(left, right, "k") == {"left": [1], "right": [2]}
-    out = merge.merge(left, right, "k", "outer")
-    assert sorted([tuple(r) for r in out.collect()], key=str) == expected_join(LEFT, RIGHT, "outer")
+    elsewhere = spark.createDataFrame([(k,) for k in (1, 3, 4, 77, None) for _ in range(9)], "k bigint")
+    keys = merge.find_hot_keys(elsewhere, elsewhere, "k", bucket_rows=4)
+    assert len(hot_rows(keys)["left"]) == len(hot_rows(keys)["right"]) == 5
+    out = merge.merge(left, right, "k", how, hot_keys=keys)
+    assert sorted([tuple(r) for r in out.collect()], key=str) == expected_join(LEFT, RIGHT, how)
+
+
+@pytest.mark.parametrize("how", merge.JOIN_TYPES)
+def test_equal_rows_of_a_hot_key_are_dealt_over_all_buckets(spark, how):
+    left = spark.createDataFrame([(1, "same", {"a": 1}, [{"b": 2}])] * 1000 + [(2, None, None, None)] * 3, "k int, a string, m map<string,int>, n array<map<string,int>>")
+    right = spark.createDataFrame([(1, "x"), (3, "y")] + [(None, "z")] * 50, "k bigint, b string")
+    keys = merge.find_hot_keys(left, right, "k", bucket_rows=25)
+    dealt = merge._dealt(left, "k", keys, keys.left, "bucket")
+    assert {r["bucket"]: r["bucket_n"] for r in dealt.filter("k = 1").collect()} == dict.fromkeys(range(40), 25)
+    out = Counter(tuple(r)[:2] + (r["m"] and r["m"]["a"], r["n"] and r["n"][0]["b"], r["b"]) for r in merge.merge(left, right, "k", how, hot_keys=keys).collect())
+    want = Counter({(1, "same", 1, 2, "x"): 1000})
+    want += Counter({(2, None, None, None, None): 3} if how in ("left", "outer") else {})
+    want += Counter({(3, None, None, None, "y"): 1, (None, None, None, None, "z"): 50} if how in ("right", "outer") else {})
+    assert out == want
 
 
 def test_outer_merge_of_keys_of_two_widths(spark, monkeypatch):
-    monkeypatch.setattr(merge, "SAMPLE", 1.0)
-    monkeypatch.setattr(merge, "HOT_SAMPLED", 30)
+    monkeypatch.setattr(merge, "BUCKET_ROWS", 30)
     left = spark.createDataFrame([(1, 1)] * 40, "k int, a bigint")
     right = spark.createDataFrame([(1 << 40, i) for i in range(40)] + [(1, 5)], "k bigint, b bigint")
     out = merge.merge(left, right, "k", "outer")

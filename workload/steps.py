@@ -423,13 +423,39 @@ def merge_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _join(spark, sf_dir, "outer")
 
 
+def _salted(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey")
+    return _join(spark, sf_dir, how, hot_keys=merge.find_hot_keys(events, customer, "c_custkey", bucket_rows=8))
+
+
 @query("merge_outer_salted", _sql_join("FULL OUTER"))
 def merge_outer_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same join with the crowded keys of the left side spread over buckets."""
-    crowded = (
-        table(spark, sf_dir, "events").groupBy("user_id").count().orderBy(F.desc("count"), "user_id").limit(20).collect()
+    """The same join with the crowded keys of the left side dealt over buckets."""
+    return _salted(spark, sf_dir, "outer")
+
+
+@query("merge_right_salted", _sql_join("RIGHT"))
+def merge_right_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The left side of a right join, which run-time splitting leaves alone."""
+    return _salted(spark, sf_dir, "right")
+
+
+@query(
+    "merge_equal_rows",
+    """SELECT e.kind, e.half, n.n_name, count(*) AS n
+       FROM (SELECT CASE event_type WHEN 'error' THEN NULL ELSE event_type END AS kind, user_id % 2 AS half FROM events) e
+       FULL JOIN (SELECT CASE WHEN n_nationkey % 5 = 0 THEN 'view' WHEN n_nationkey % 5 = 1 THEN 'none' END AS kind, n_name FROM nation) n
+         ON e.kind = n.kind GROUP BY ALL""",
+)
+def merge_equal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few distinct rows make up the left side: they are collapsed, dealt and copied again."""
+    events = table(spark, sf_dir, "events").selectExpr("nullif(event_type, 'error') AS kind", "user_id % 2 AS half")
+    nation = table(spark, sf_dir, "nation").selectExpr(
+        "CASE WHEN n_nationkey % 5 = 0 THEN 'view' WHEN n_nationkey % 5 = 1 THEN 'none' END AS kind", "n_name"
     )
-    return _join(spark, sf_dir, "outer", hot_keys={"left": [r["user_id"] for r in crowded]})
+    joined = merge.merge(events, nation, "kind", "outer", hot_keys=merge.find_hot_keys(events, nation, "kind", bucket_rows=3))
+    return joined.select(F.when(F.col("half").isNotNull(), F.col("kind")).alias("kind"), "half", "n_name").groupBy("kind", "half", "n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
