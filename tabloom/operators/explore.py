@@ -8,12 +8,12 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.functions.columns import col, field_type, is_numeric, measure, numeric_columns, require_columns
+from tabloom.functions.gram import PairSums, pair_sums
 from tabloom.functions.quantiles import exact_quantiles
 from tabloom.functions.stats import MAX, MIN, fit
 from tabloom.operators.profile import column_summary, value_counts
 
 BINS = 30
-SUMS_PER_AGGREGATE = 60  # beyond that the generated code is too large to be compiled
 
 
 # -- one column ---------------------------------------------------------------
@@ -123,84 +123,30 @@ def univariate(df: DataFrame, column: str) -> dict[str, DataFrame]:
 
 # -- two and more columns -----------------------------------------------------
 
-def _pair_sums(df: DataFrame, columns: list[str]) -> tuple[dict[tuple[int, int], tuple], list[float]]:
-    """Per pair of columns, over its complete rows: n, and the sums of x, y, xx, yy, xy.
-
-    Values are shifted by their column's mean, so that the sums do not cancel.
-    """
-    x = [measure(df, c) for c in columns]
-    row = df.agg(F.count(F.lit(1)), *[F.count(v) for v in x], *[F.avg(v) for v in x]).first()
-    k = len(columns)
-    rows, present, means = row[0], row[1 : k + 1], [m or 0.0 for m in row[k + 1 :]]
-    shifted = df.select(*[(v - F.lit(m)).alias(f"d{i}") for i, (v, m) in enumerate(zip(x, means))])
-    pairs = list(combinations_with_replacement(range(k), 2))
-    d = [F.col(f"d{i}") for i in range(k)]
-
-    sums: dict[tuple, Column] = {}
-
-    def total(value: Column, i: int, partner: int, name: str) -> tuple:
-        """A sum for column i; the partner matters only if it has gaps of its own."""
-        gaps = present[partner] < rows and partner != i
-        key = (name, i, partner) if gaps else (name, i)
-        sums[key] = F.sum(F.when(d[partner].isNotNull(), value) if gaps else value)
-        return key
-
-    needed = {}
-    for i, j in pairs:
-        sums["xy", i, j] = F.sum(d[i] * d[j])
-        needed[i, j] = [
-            total(F.when(d[i].isNotNull(), 1.0), i, j, "n"),
-            total(d[i], i, j, "s"),
-            total(d[j], j, i, "s"),
-            total(d[i] * d[i], i, j, "ss"),
-            total(d[j] * d[j], j, i, "ss"),
-            ("xy", i, j),
-        ]
-    if len(sums) <= SUMS_PER_AGGREGATE:
-        keys = list(sums)
-        found = shifted.agg(*[sums[key].alias(f"s{n}") for n, key in enumerate(keys)]).first()
-        at = {key: found[n] for n, key in enumerate(keys)}
-        return {pair: tuple(at[key] for key in keys) for pair, keys in needed.items()}, means
-
-    # Many pairs: a row per pair before the partial aggregate, still one scan
-    both = F.struct(F.col("v")[F.col("p.i")].alias("a"), F.col("v")[F.col("p.j")].alias("b"))
-    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in pairs])
-    a, b = F.col("ab.a"), F.col("ab.b")
-    counted = (
-        shifted.select(F.array(*d).alias("v"))
-        .select("v", F.explode(grid).alias("p"))
-        .select("p", both.alias("ab"))
-        .filter(a.isNotNull() & b.isNotNull())
-        .groupBy("p")
-        .agg(F.count(F.lit(1)), F.sum(a), F.sum(b), F.sum(a * a), F.sum(b * b), F.sum(a * b))
-    )
-    return {(r["p"]["i"], r["p"]["j"]): tuple(r)[1:] for r in counted.collect()}, means
-
-
-def _pearson(sums: tuple | None, mean_x: float, mean_y: float) -> float | None:
-    if sums is None or not sums[0]:
+def _pearson(sums: PairSums, means: list[float], i: int, j: int) -> float | None:
+    n = sums.n[i, j]
+    if not n:
         return None
-    n, sx, sy, sxx, syy, sxy = (float(s or 0.0) for s in sums)
-    vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+    vx, vy = (float(sums.ss[a, b] - sums.s[a, b] ** 2 / n) for a, b in ((i, j), (j, i)))
     # what rounding leaves of a constant column is not variance
-    if vx <= n * (1e-14 * mean_x) ** 2 or vy <= n * (1e-14 * mean_y) ** 2:
+    if vx <= n * (1e-14 * means[i]) ** 2 or vy <= n * (1e-14 * means[j]) ** 2:
         return None
-    return (sxy - sx * sy / n) / math.sqrt(vx * vy)
+    return float(sums.xy[i, j] - sums.s[i, j] * sums.s[j, i] / n) / math.sqrt(vx * vy)
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(col_a, col_b, corr)`` for all ordered pairs, each over its complete rows.
 
-    Two scans whatever the number of columns. A constant column correlates with
-    nothing (null), not even itself.
+    Two scans whatever the number of columns: means, and masked matrix products. A constant
+    column correlates with nothing (null), not even itself.
     """
     require_columns(df, columns)
     names = [c for c in columns if is_numeric(field_type(df, c))]
     cells = {}
     if names:
-        sums, means = _pair_sums(df, names)
+        sums, means = pair_sums(df, names)
         for (i, j) in combinations_with_replacement(range(len(names)), 2):
-            value = _pearson(sums.get((i, j)), means[i], means[j])
+            value = _pearson(sums, means, i, j)
             cells[names[i], names[j]] = cells[names[j], names[i]] = value
     return df.sparkSession.createDataFrame(
         [(a, b, corr) for (a, b), corr in cells.items()], "col_a string, col_b string, corr double"
@@ -209,8 +155,8 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def correlation_pair(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation over the rows where both values are present."""
-    sums, means = _pair_sums(df, [x, y])
-    return df.sparkSession.createDataFrame([(_pearson(sums.get((0, 1)), *means),)], "corr double")
+    sums, means = pair_sums(df, [x, y])
+    return df.sparkSession.createDataFrame([(_pearson(sums, means, 0, 1),)], "corr double")
 
 
 def correlation_numeric(df: DataFrame) -> DataFrame:

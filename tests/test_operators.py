@@ -321,9 +321,7 @@ def test_correlation_ignores_nan_and_null(spark):
     assert explore.correlation_numeric(df.select(F.lit("t").alias("t"))).count() == 0
 
 
-@pytest.mark.parametrize("limit", [60, 0])
-def test_correlation_over_complete_pairs(spark, monkeypatch, limit):
-    monkeypatch.setattr(explore, "SUMS_PER_AGGREGATE", limit)
+def test_correlation_over_complete_pairs(spark):
     df = spark.range(200).select(
         (F.sin("id") + 1e6).alias("a"),
         F.when(F.col("id") % 3 > 0, F.cos("id") + F.sin("id")).alias("b"),
@@ -342,6 +340,26 @@ def test_correlation_over_complete_pairs(spark, monkeypatch, limit):
     assert explore.correlation_pair(df, "a", "constant").first()[0] is None
 
 
+def test_an_infinite_value_spoils_only_the_pairs_that_meet_it(spark):
+    rows = [(float(i), float(i * i), float("inf") if i == 3 else float(-i), None if i == 3 else float(i % 4)) for i in range(20)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    frame = df.toPandas()
+    found = {(r["col_a"], r["col_b"]): r["corr"] for r in explore.correlation_numeric(df).collect()}
+    for (a, b), corr in found.items():
+        if "c" in (a, b) and "d" not in (a, b):
+            assert math.isnan(corr)
+        else:
+            rows_of_both = frame[frame[[a, b]].notna().all(axis=1)]
+            assert corr == pytest.approx(1.0 if a == b else rows_of_both[[a, b]].corr().loc[a, b])
+
+
+@pytest.mark.parametrize("width", [3, 40])
+def test_correlation_of_any_width_takes_two_scans(spark, width):
+    df = spark.range(5000).select(*[F.when((F.col("id") + i) % (i + 2) > 0, F.sin(F.col("id") * (i + 1))).alias(f"c{i}") for i in range(width)])
+    frame = df.toPandas().corr()
+    assert all(r["corr"] == pytest.approx(frame.loc[r["col_a"], r["col_b"]], abs=1e-9) for r in explore.correlation_numeric(df).collect())
+
+
 def test_bivariate_types(people, spark):
     assert set(explore.bivariate(people, "age", "salary")) == {"points", "correlation"}
     assert set(explore.bivariate(people, "age", "name")) == {"bars"}

@@ -281,6 +281,25 @@ def correlation_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(explore.correlation_numeric(table(spark, sf_dir, "lineitem")), 6, "corr")
 
 
+_WIDE = {
+    f"w{i:02d}": f"CASE WHEN (l_orderkey + {i}) % {i % 5 + 2} <> 0 THEN {_LINEITEM_NUMBERS[i % 8]} * {i + 1} + {_LINEITEM_NUMBERS[(i * 3 + 1) % 8]} END"
+    for i in range(24)
+}
+_WIDE_COLUMNS = ", ".join(f"{e} AS {n}" for n, e in _WIDE.items())
+_WIDE_PAIRS = ", ".join(f"round(corr({a}, {b}), 6) + 0.0 AS {a}_{b}" for a in _WIDE for b in _WIDE)
+
+
+@query(
+    "correlation_wide",
+    f"""SELECT split_part(pair, '_', 1) AS col_a, split_part(pair, '_', 2) AS col_b, corr
+        FROM (SELECT {_WIDE_PAIRS} FROM (SELECT {_WIDE_COLUMNS} FROM lineitem)) UNPIVOT INCLUDE NULLS (corr FOR pair IN (COLUMNS(*)))""",
+)
+def correlation_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 columns, all with gaps of their own: every pair is taken over its own complete rows."""
+    wide = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} AS {n}" for n, e in _WIDE.items()])
+    return rounded(explore.correlation_numeric(wide), 6, "corr")
+
+
 @query("bar_totals", f"SELECT event_type, round(sum(value), 2) AS total FROM ({_MAYBE_TYPE}) GROUP BY event_type")
 def bar_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(explore.bar_totals(_maybe_type(spark, sf_dir), "event_type", "value"), 2, "total")
