@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabloom.functions.columns import measure
+from tabloom.functions.columns import col, measure
 
 
 class PairSums(NamedTuple):
@@ -57,7 +57,8 @@ def pair_sums(df: DataFrame, columns: list[str]) -> tuple[PairSums, list[float]]
     """The sums of the columns less their means, which keeps the sums from cancelling, and the means."""
     x = [measure(df, c) for c in columns]
     means = [m if m is not None and np.isfinite(m) else 0.0 for m in df.agg(*[F.avg(v) for v in x]).first()]
-    values = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)])
+    # Arrow hands nulls over as NaN, and NaN is missing too
+    values = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     cells = values.mapInArrow(_products(means), _CELL).groupBy("i", "j").agg(*[F.sum(name).alias(name) for name in PairSums._fields])
     out = PairSums(*np.zeros((len(PairSums._fields), len(columns), len(columns))))
     for r in cells.collect():

@@ -3,7 +3,9 @@
 A step that depends on the data (mean fill, scaling, encoding, outliers) is fit
 first: its statistics become literals, never a joined-in sub-plan, so a long
 recipe stays one chain of projections and filters. Neighbouring steps that look
-at different columns are fit together in one pass.
+at different columns are fit together in one pass. Where several fits lie behind a
+filter or a join, the state before them is written once, so that fits do not run the
+steps before them again; recipes of one library share the states of a common prefix.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from tabloom.functions.stats import Need, fit
 from tabloom.operators import encode, prepare, project
 from tabloom.operators.merge import UNSPLIT, HotKeys, find_hot_keys, merge
+from tabloom.plans.states import States, addresses, storable
 
 
 @dataclass(frozen=True)
@@ -33,10 +36,11 @@ class Step:
 @dataclass
 class Library:
     """Where merges find other tables: ``datasets`` by id, and the dataset and
-    steps of each version by version id."""
+    steps of each version by version id; and the states its recipes have written."""
 
     datasets: dict[Any, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
     versions: dict[Any, tuple[Any, list[Step]]] = field(default_factory=dict)
+    states: States = field(default_factory=States)
 
     def dataset(self, dataset_id: Any) -> DataFrame:
         if dataset_id not in self.datasets:
@@ -167,6 +171,10 @@ OPERATIONS: dict[str, Operation] = {
 OPERATIONS["Encode Categorical Variables"] = OPERATIONS["Encode Data"]  # the name its form shows
 
 
+#: Steps that drop rows
+FILTERS = ("Filter Rows", "Remove Outliers")
+
+
 def operation(step: Step) -> Operation:
     if step.operation_type not in OPERATIONS:
         raise ValueError(f"unknown operation '{step.operation_type}'; choose one of {sorted(OPERATIONS)}")
@@ -207,14 +215,57 @@ def _batch(steps: list[Step], start: int) -> int:
     return len(steps)
 
 
+def _fits(steps: list[Step], start: int) -> int:
+    """Times the steps from ``start`` on look at the table they get."""
+    count, ready_until = 0, start
+    for i in range(start, len(steps)):
+        op, p = operation(steps[i]), steps[i].parameters
+        if op.apply is _merge_apply:
+            count += bool(UNSPLIT.get(p["join_type"]))
+        elif op.learn:
+            count += len(p["columns"])
+        elif op.needs and op.needs(p) and i >= ready_until:
+            ready_until = _batch(steps, i)
+            count += 1
+    return count
+
+
+def _described(steps: list[Step], library: Library, open_merges: tuple = ()) -> list[Any]:
+    """Steps as JSON, a merge with the steps of the other side."""
+    out = []
+    for step in steps:
+        p = step.parameters
+        inner: Any = None
+        if operation(step).apply is _merge_apply:
+            target = (p["merge_with"], p["merge_version"])
+            known = library.versions.get(target[1])
+            if known and known[0] == target[0] and target not in open_merges:
+                inner = _described(known[1], library, (*open_merges, target))
+        out.append([step.operation_type, p, inner])
+    return out
+
+
 def _run(df: DataFrame, steps: list[Step], context: Context) -> tuple[DataFrame, FittedRecipe]:
     for step in steps:
         operation(step)  # unknown names fail before anything runs
+    source, states = df, context.library.states
+    address = addresses(_described(steps, context.library, context.open_merges))
     done: list[FittedStep] = []
+    first, saved = 0, False
+    for n in range(len(steps), 0, -1):
+        found = states.find(source, address[n])
+        if found:
+            df, done, first, saved = found[0], list(found[1]), n, True
+            break
+    filtered = joined = False
     ready_until, statistics = 0, {}
-    for i, step in enumerate(steps):
+    for i, step in enumerate(steps[first:], first):
         op, p = operation(step), step.parameters
         learned: Any = None
+        fits_here = bool(op.learn and op.apply is not _merge_apply) or bool(op.needs and op.needs(p) and i >= ready_until)
+        if fits_here and (joined or (filtered and not saved)) and _fits(steps, i) > 1 and storable(df):
+            df = states.write(source, address[i], df, tuple(done))
+            filtered, joined, saved = False, False, True
         if op.learn:
             learned = op.learn(df, p, context)
         elif op.needs and op.needs(p):
@@ -226,6 +277,8 @@ def _run(df: DataFrame, steps: list[Step], context: Context) -> tuple[DataFrame,
         fitted = FittedStep(step, learned)
         df = fitted.apply(df)
         done.append(fitted)
+        joined = joined or op.apply is _merge_apply
+        filtered = filtered or step.operation_type in FILTERS
     return df, FittedRecipe(tuple(done))
 
 

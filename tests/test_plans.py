@@ -175,3 +175,97 @@ def test_ids_of_forks_grow_by_one_step(spark):
         assert steps[-1][0] == largest and len(steps) == len(UNFITTED)
         log = spark.createDataFrame(steps, versions.STEP_SCHEMA)
     assert versions.load_steps(log, 101) == UNFITTED
+
+
+@pytest.fixture
+def counted(spark, sf_dir):
+    """The orders, and how often all of them have been read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(_):
+        reads.add(1)
+        return True
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.filter(seen("o_orderkey")), lambda: reads.value / orders.count()
+
+
+FITS = [
+    step("Remove Outliers", column="o_totalprice", method="IQR Method"), step("Scale Data", columns=["o_totalprice"], method="StandardScaler"),
+    step("Encode Data", columns=["o_orderstatus"], type="LabelEncoding"), step("Fill Missing Values", column="balance", method="Mean"),
+    step("Scale Data", columns=["balance"], method="MinMaxScaler"), step("Encode Data", columns=["o_orderpriority"], type="OneHotEncoding"),
+]
+
+
+def shop(spark, sf_dir, orders, further=()):
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    begin = [
+        step("Rename Column", old_name="o_custkey", new_name="c_custkey"),
+        step("Merge Datasets", merge_with="c", merge_version="good", join_column="c_custkey", join_type="inner"),
+    ]
+    good = [step("Filter Rows", condition="c_acctbal > 0"), step("Rename Column", old_name="c_acctbal", new_name="balance"), *further]
+    return Library({"o": orders, "c": customer}, {"good": ("c", good)}), begin
+
+
+@pytest.mark.parametrize("fits", [2, 4, 6])
+def test_further_fits_do_not_read_the_source_again(spark, sf_dir, counted, fits):
+    orders, reads = counted
+    library, begin = shop(spark, sf_dir, orders)
+    made = replay(orders, begin + FITS[:fits], library)
+    assert reads() == 1 and library.states.written == 1
+    assert made.count() > 0 and reads() == 1
+
+
+def test_all_operations_read_the_source_as_often_as_their_first_fits(spark, sf_dir, counted):
+    """Mean and median before the join read it, the written join once more; nothing behind it does."""
+    from workload import recipes
+
+    orders, reads = counted
+    steps = [Step(kind, p) for kind, p in recipes.ALL_OPERATIONS]
+    library = recipes._library(spark, sf_dir)
+    replay(orders, steps[:10], library)
+    before = reads()
+    replay(orders, steps[:12], library)
+    at_first = reads() - before
+    replay(orders, steps, library)
+    assert reads() == before + at_first and library.states.written == 2
+
+
+def test_a_fork_starts_at_the_longest_written_prefix(spark, sf_dir, counted):
+    orders, reads = counted
+    library, begin = shop(spark, sf_dir, orders)
+    replay(orders, begin + FITS, library)
+    forked = replay(orders, begin + FITS[:3] + [step("Delete Column", columns=["balance"])], library)
+    assert reads() == 1 and library.states.written == 1
+    assert rows(forked) == rows(replay(orders, begin + FITS[:3] + [step("Delete Column", columns=["balance"])], Library(library.datasets, library.versions)))
+
+
+def test_another_source_or_another_merged_recipe_has_states_of_its_own(spark, sf_dir, counted):
+    orders, reads = counted
+    library, begin = shop(spark, sf_dir, orders)
+    one = replay(orders, begin + FITS[:3], library)
+    library.versions["good"] = shop(spark, sf_dir, orders, [step("Filter Rows", condition="c_custkey % 2 = 0")])[0].versions["good"]
+    two = replay(orders, begin + FITS[:3], library)
+    three = replay(orders.filter("o_orderkey % 2 = 0"), begin + FITS[:3], library)
+    assert library.states.written == 3
+    assert one.count() > two.count() > 0 and three.count() < one.count()
+
+
+def test_a_fitted_merge_applies_without_a_job(spark):
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0)], "k bigint, a bigint")
+    right = spark.createDataFrame([(1, 1), (3, 1)], "k bigint, b bigint")
+    library = Library({"r": right}, {"v": ("r", [])})
+    recipe_ = fit_recipe(left, [step("Merge Datasets", merge_with="r", merge_version="v", join_column="k", join_type="outer")], library)
+    spark.sparkContext.setJobGroup("applied", "no job may run")
+    try:
+        out = recipe_.apply(left.limit(10))
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("applied")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert out.count() == 11
+
+
+def test_a_column_without_a_type_is_not_written(spark, sales):
+    made = replay(sales, [step("Add Calculated Column", new_column="void", formula="NULL"), step("Filter Rows", condition="id > 1"), step("Scale Data", columns=["amount"], method="StandardScaler"), step("Remove Outliers", column="amount", method="IQR Method")])
+    assert made.count() == 3
