@@ -24,13 +24,29 @@ LOOKS_LIKE = {
 }
 
 
+#: What a quoted empty cell reads as until it becomes empty text; an unquoted one is null.
+QUOTED_EMPTY = "\ue000tabloom quoted empty\ue000"
+
+
+def text_options(multi_line: bool) -> dict[str, object]:
+    return {"header": True, "escape": '"', "multiLine": multi_line, "nullValue": "", "emptyValue": QUOTED_EMPTY}
+
+
+def empties_back(df: DataFrame) -> DataFrame:
+    """Empty text where a quoted empty cell was read, ``_c<position>`` where it was a header."""
+    df = df.toDF(*[f"_c{i}" if c.startswith(QUOTED_EMPTY) else c for i, c in enumerate(df.columns)])
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return replace_columns(df, {c: F.when(col(c) == QUOTED_EMPTY, "").otherwise(col(c)) for c in texts})
+
+
 def read_text(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Every column as text; a blank header becomes ``_c<position>``.
+    """Every column as text; a blank header becomes ``_c<position>``, an unquoted empty cell is null
+    and a quoted one empty text.
 
     Without ``multi_line`` a line break ends a row even inside quotes; then large files are split
     among tasks, while with it a file is read by one task.
     """
-    return spark.read.csv(path, header=True, inferSchema=False, escape='"', multiLine=multi_line)
+    return empties_back(spark.read.csv(path, inferSchema=False, **text_options(multi_line)))
 
 
 def split_tokens(text: str) -> list[str]:
@@ -55,15 +71,15 @@ def _fits(name: str, type_name: str) -> Column:
 def infer_types(df: DataFrame, first_rows: int | None = DEFAULT_INFER_ROWS) -> dict[str, str]:
     """The narrowest type that fits every text cell of the first rows (None: all rows).
 
-    One aggregate counts the cells and the fits of all columns and types. A
-    column without any value stays text.
+    One aggregate counts the cells and the fits of all columns and types; empty
+    text counts as no cell. A column without any value stays text.
     """
     rows = df if first_rows is None else df.limit(first_rows)
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return {}
     row = rows.agg(
-        *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(texts)],
+        *[F.count_if(col(c) != "").alias(f"n{i}") for i, c in enumerate(texts)],
         *[F.count_if(_fits(c, t)).alias(f"{t}{i}") for i, c in enumerate(texts) for t in LOOKS_LIKE],
     ).first()
     return {
@@ -78,11 +94,15 @@ def read_csv(
     infer_rows: int | None = DEFAULT_INFER_ROWS,
     ignore_errors: bool = False,
     null_values: Iterable[str] = (),
+    multi_line: bool = True,
 ) -> DataFrame:
     """A typed CSV table. A cell that does not fit its column's type, found below
-    the inferred rows, raises or, with ``ignore_errors``, becomes null."""
-    text = null_tokens(read_text(spark, path), null_values)
-    return select_and_cast(text, infer_types(text, infer_rows), lenient=ignore_errors)
+    the inferred rows, raises or, with ``ignore_errors``, becomes null. Empty text
+    stays so in text columns and is null in others. ``multi_line`` as in ``read_text``."""
+    text = null_tokens(read_text(spark, path, multi_line), null_values)
+    types = infer_types(text, infer_rows)
+    cells = replace_columns(text, {c: F.when(col(c) != "", col(c)) for c, t in types.items() if t != "String"})
+    return select_and_cast(cells, types, lenient=ignore_errors)
 
 
 def cast_report(df: DataFrame, types: dict[str, str]) -> DataFrame:

@@ -6,6 +6,7 @@ import datetime
 
 import pytest
 
+from tabloom.functions.columns import DuplicateColumn
 from tabloom.functions.hashing import uniform
 from tabloom.ml import split
 from tabloom.session import scratch_path
@@ -126,3 +127,67 @@ def test_csv_cells_with_quotes_blanks_and_newlines_come_back(spark, tmp_path):
     cells = ["  lead", "trail  ", 'say "hi", ok', "two\nlines", "back\\slash", None]
     path = write_csv(spark.createDataFrame([(str(i), c) for i, c in enumerate(cells)], "k string, v string").coalesce(1), f"{tmp_path}/cells")
     assert [r.v for r in read_text(spark, path).orderBy("k").collect()] == cells
+
+
+def test_folder_of_unlike_headers(spark, tmp_path):
+    write(tmp_path, "a.csv", "x,y\n1,2\n3,4\n")
+    write(tmp_path, "b.csv", "y,x,z\n5,6,7\n")
+    write(tmp_path, "c.csv", '\ufeffy,"a, b",\n"",8,9\n')
+    write(tmp_path, "d,[1] %20.csv", "z\n10\n")
+    write(tmp_path, "empty.csv", "")
+    write(tmp_path, "only.csv", "q,x\n")
+    df = tables.csv_folder(spark, str(tmp_path))
+    assert df.columns == ["x", "y", "z", "a, b", "_c2", "q", "file_name"]
+    none = (None,) * 3
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(
+        [("1", "2", None, *none, "a.csv"), ("3", "4", None, *none, "a.csv"), ("6", "5", "7", *none, "b.csv"), (None, "", None, "8", "9", None, "c.csv"), (None, None, "10", *none, "d,[1] %20.csv")], key=str
+    )
+    counts = {r["file_name"]: r["rows"] for r in tables.rows_per_file(df).collect()}
+    assert counts == {"a.csv": 2, "b.csv": 1, "c.csv": 1, "d,[1] %20.csv": 1}
+
+
+def test_folder_headers_of_files_in_several_blocks(spark, tmp_path):
+    for name, header in (("a.csv", "k,v"), ("b.csv", "v,k")):
+        write(tmp_path, name, header + "\n" + "".join(f"{i},{i}\n" for i in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        found = {r["file_path"].rsplit("/", 1)[1]: r["header"] for r in tables.header_catalogue(spark, str(tmp_path)).collect()}
+        assert found == {"a.csv": "k,v", "b.csv": "v,k"}
+        df = tables.csv_folder(spark, str(tmp_path), multi_line=False)
+        assert df.filter("k = v").count() == 40_000 and df.rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_folder_guards(spark, tmp_path):
+    write(tmp_path, "a.csv", "x,X,file_name\n1,2,3\n")
+    with pytest.raises(DuplicateColumn):
+        tables.csv_folder(spark, str(tmp_path))
+    df = tables.csv_folder(spark, str(tmp_path), file_column="source")
+    assert df.columns == ["x0", "X1", "file_name", "source"] and tuple(df.first()) == ("1", "2", "3", "a.csv")
+
+
+def test_empty_text_and_null_come_back(spark, tmp_path):
+    rows = [(1, "", None, ""), (2, None, "", "x"), (3, '""', " ", 'a"b\n,c'), (4, "\\", "\t", None)]
+    df = spark.createDataFrame(rows, "id bigint, a string, b string, c string")
+    tables.write_csv(df, f"{tmp_path}/out")
+    assert sorted(map(tuple, csv.read_csv(spark, f"{tmp_path}/out").collect())) == rows
+
+
+def test_quoted_empty_cells_of_a_number_column_are_null(spark, tmp_path):
+    path = write(tmp_path, "quoted.csv", '"id","n","t"\n"1","","x"\n"2","5",""\n')
+    df = csv.read_csv(spark, path)
+    assert [tuple(r) for r in df.collect()] == [(1, None, "x"), (2, 5, "")]
+
+
+def test_one_line_rows_need_no_multi_line(spark, tmp_path):
+    path = write(tmp_path, "lines.csv", "id,t\n" + "".join(f"{i},t{i}\n" for i in range(50_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50k")
+    try:
+        split, whole = (csv.read_csv(spark, path, multi_line=m) for m in (False, True))
+        assert split.rdd.getNumPartitions() > 4 and whole.rdd.getNumPartitions() == 1
+        assert split.exceptAll(whole).isEmpty() and split.count() == 50_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -157,6 +157,43 @@ def csv_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "csv_folder_headers",
+    """SELECT part, count(*) AS rows, count(l_tax) AS taxed, round(sum(l_quantity), 2) AS quantity, round(sum(l_tax), 2) AS tax
+       FROM (SELECT l_linenumber % 3 AS part, l_quantity, CASE WHEN l_linenumber % 3 = 1 THEN l_tax END AS l_tax FROM lineitem) GROUP BY part""",
+)
+def csv_folder_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of three headers: the same columns in another order, and one with a column more."""
+    lineitem = table(spark, sf_dir, "lineitem").withColumn("part", F.col("l_linenumber") % 3)
+    folder = scratch_path(spark, "headers")
+    for part, names in enumerate((["l_quantity", "part"], ["part", "l_tax", "l_quantity"], ["part", "l_quantity"])):
+        tables.write_csv(lineitem.filter(F.col("part") == part).select(*names), f"{folder}/part={part}/files")
+    found = tables.csv_folder(spark, f"{folder}/part=*/files")
+    per_part = found.groupBy(F.col("part").cast("long").alias("part")).agg(
+        F.count(F.lit(1)).alias("rows"), F.count("l_tax").alias("taxed"), F.sum(F.col("l_quantity").cast("double")).alias("quantity"),
+        F.sum(F.col("l_tax").cast("double")).alias("tax"),
+    )
+    return rounded(per_part, 2, "quantity", "tax")
+
+
+_ODD_CELLS = """CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN 'a "quoted" cell' WHEN 3 THEN 'two' || chr(10) || 'lines'
+                WHEN 4 THEN '  blanks, and a comma ' WHEN 5 THEN '""' ELSE o_orderpriority END"""
+
+
+@query("csv_rfc", f"SELECT o_orderkey, {_ODD_CELLS} AS cell, CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS price FROM orders")
+def csv_rfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty texts, nulls, quotes, line breaks and blanks come back from a file as they were."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_ODD_CELLS} AS cell", "CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS price")
+    return csv.read_csv(spark, _as_csv(spark, orders, "rfc"), infer_rows=None)
+
+
+@query("csv_split_files", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS status FROM orders")
+def csv_split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose rows are lines are split among tasks."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS status")
+    return csv.read_csv(spark, _as_csv(spark, orders, "split"), infer_rows=None, multi_line=False)
+
+
 def _md5_number(seed: str) -> str:
     return f"CAST('0x' || substr(md5(CAST(o_orderkey AS VARCHAR) || '|1:{seed}'), 1, 8) AS BIGINT)"
 
