@@ -74,6 +74,55 @@ def test_only_the_failing_callable_is_an_error(numbers):
     assert found == [("ok", "Error", 2), ("boom", HIGH, None)]
 
 
+def test_broken_callables_are_verdicts_of_the_one_scan(spark, sf_dir):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(_):
+        reads.add(1)
+        return True
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rules = []
+    for i in range(200):
+        if i % 10 == 3:
+            rules.append(Rule(f"r{i}", CUSTOM, "event_id", condition=lambda v, i=i: 1 / (v % 50 - i % 50) > -2))
+        elif i % 10 == 4:
+            rules.append(Rule(f"r{i}", CUSTOM, "value", condition=lambda v, i=i: v > i))
+        else:
+            rules.append(Rule(f"r{i}", RANGE, "value", lower=0, upper=i))
+    found = quality.violations(events.filter(seen("event_id")), rules)
+    assert reads.value == events.count()
+    broken = {f["rule_name"]: f["message"] for f in found if f["failed_rows"] is None}
+    assert broken == {f"r{i}": "Error applying rule: ZeroDivisionError: division by zero" for i in range(3, 200, 10)}
+    values = [r.value for r in events.collect()]
+    want = {f"r{i}": sum(not v > i for v in values) if i % 10 == 4 else sum(not 0 < v < i for v in values) for i in range(200) if i % 10 != 3}
+    assert {f["rule_name"]: f["failed_rows"] for f in found if f["failed_rows"] is not None} == {k: n for k, n in want.items() if n}
+
+
+def test_callables_over_batches(spark):
+    import pyarrow.compute as pc
+
+    df = spark.createDataFrame([(i if i % 4 else None, [i], f"t{i % 3}") for i in range(40)], "x int, l array<int>, t string").repartition(3)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(v):
+        calls.add(1)
+        return v != "t1"
+
+    rules = [
+        Rule("batch", CUSTOM, "x", condition=lambda a: pc.less(a, 20), batch=True), Rule("list", CUSTOM, "x", condition=lambda a: [v.as_py() < 10 for v in a], batch=True),
+        Rule("short", CUSTOM, "x", condition=lambda a: [True], batch=True), Rule("nested", CUSTOM, "l", condition=lambda v: v[0] < 39), Rule("text", CUSTOM, "t", condition=counted),
+        Rule("none", CUSTOM, "t", condition=lambda v: None),
+    ]
+    found = {f["rule_name"]: (f["severity"], f["failed_rows"]) for f in quality.violations(df, rules)}
+    assert found == {"batch": ("Error", 25), "list": ("Error", 33), "short": (HIGH, None), "nested": ("Error", 1), "text": ("Error", 13), "none": ("Error", 40)}
+    assert calls.value <= 3 * 3
+    assert quality.failing_rows(df, rules[0]).count() == 25
+    with pytest.raises(Exception, match="rule 'short'"):
+        quality.failing_rows(df, rules[2]).collect()
+
+
 def test_runtime_error_in_an_expression(numbers):
     found = quality.violations(numbers, [Rule("n", NULL, "y"), Rule("div", CUSTOM, "x", condition="1 / x > 0")])
     assert [(f["rule_name"], f["severity"]) for f in found] == [("n", "Error"), ("div", HIGH)]
