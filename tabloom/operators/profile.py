@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tabloom.functions.bounded import few_values
 from tabloom.functions.columns import col, field_type, is_numeric, require_columns
 from tabloom.functions.quantiles import exact_quantiles
 from tabloom.functions.stats import countable, most_frequent, value_counts_by_column
@@ -230,32 +231,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(col(column)).agg(F.count(F.lit(1)).alias("count"))
 
 
-def filter_options(df: DataFrame, fewer_than: int = 100, probe: int = 10_000) -> DataFrame:
-    """``(column_name, value)``: the distinct values of every column with few of them.
-
-    A column that already shows too many values in a handful of rows cannot
-    qualify, so only the others are counted over the whole table.
-    """
-    names = [f"c{i}" for i in range(len(df.columns))]
-    texts = df.select(*[countable(df, c).cast("string").alias(n) for n, c in zip(names, df.columns)])
-    # equal hashes can only hide a value, so the hash count is a lower bound
-    seen = (
-        texts.select(*[F.xxhash64(n).alias(n) for n in names])
-        .limit(probe)
-        .agg(*[F.size(F.collect_set(n)).alias(n) for n in names])
-        .first()
-    )
-    open_columns = [(n, c) for n, c in zip(names, df.columns) if seen[n] < fewer_than]
-    if not open_columns:
-        return df.sparkSession.createDataFrame([], "column_name string, value string")
-    values = (
-        texts.select(*[F.col(n).alias(c) for n, c in open_columns])
-        .unpivot([], [col(c) for _, c in open_columns], "column_name", "value")
-        .distinct()
-    )
-    few = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < fewer_than)
-    # one row per column at most
-    return values.join(F.broadcast(few.select("column_name")), "column_name", "left_semi")
+def filter_options(df: DataFrame, fewer_than: int = 100) -> DataFrame:
+    """``(column_name, value)``: the distinct values of every column with few of them, from one pass."""
+    return few_values(df, fewer_than)
 
 
 def overview(df: DataFrame, rows: int = 5) -> dict[str, DataFrame]:

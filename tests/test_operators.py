@@ -289,9 +289,26 @@ def test_filter_options_limit_is_exact(spark):
     )
     found = profile.filter_options(df)
     assert {r[0]: r[1] for r in found.groupBy("column_name").count().collect()} == {"n99": 99}
-    # the short look at the start must not decide for a column it cannot judge
+    # a column that looks narrow for long
     late = spark.range(400).select(F.when(F.col("id") < 300, F.lit(0)).otherwise(F.col("id")).alias("late"))
-    assert profile.filter_options(late.coalesce(1), probe=10).count() == 0
+    assert profile.filter_options(late.coalesce(1)).count() == 0
+
+
+def test_filter_options_of_all_types_over_many_tasks(spark):
+    """Each task sees few values, all tasks together too many."""
+    df = spark.range(4000).repartition(40, "id").select(
+        (F.col("id") % 7).cast("decimal(9,2)").alias("a b"), F.date_add(F.lit("2024-01-30").cast("date"), (F.col("id") % 3).cast("int")).alias("day"),
+        F.when(F.col("id") % 2 == 0, F.lit(0.5)).otherwise(F.lit(float("nan"))).alias("f"), F.when(F.col("id") % 3 > 0, F.map_from_arrays(F.array(F.lit("k")), F.array(F.col("id") % 2))).alias("m"),
+        (F.col("id") % 150).alias("over"), F.lit(None).cast("string").alias("none"), F.lit("").alias("empty"),
+    )
+    found: dict = {}
+    for r in profile.filter_options(df).collect():
+        found.setdefault(r["column_name"], set()).add(r["value"])
+    assert found == {
+        "a b": {f"{i}.00" for i in range(7)}, "day": {"2024-01-30", "2024-01-31", "2024-02-01"}, "f": {"0.5", "NaN"},
+        "m": {None, '{"m":{"k":0}}', '{"m":{"k":1}}'}, "none": {None}, "empty": {""},
+    }
+    assert profile.filter_options(df.limit(0)).count() == 0
 
 
 def test_histogram_edges(spark):
