@@ -28,20 +28,8 @@ from tabloom.ml.split import fold, split
 
 # Families by task, the most models trained, the seed
 FAMILIES = {
-    CLASSIFICATION: {
-        "GBM": "Gradient Boosting Machine (GBM)",
-        "DRF": "Distributed Random Forest (DRF)",
-        "GLM": "Generalized Linear Model (GLM)",
-        "DeepLearning": "Deep Learning",
-        "NaiveBayes": "Naive Bayes",
-        "StackedEnsemble": "Stacked Ensemble",
-    },
-    REGRESSION: {
-        "GBM": "Gradient Boosting Machine (GBM)",
-        "DRF": "Distributed Random Forest (DRF)",
-        "GLM": "Generalized Linear Model (GLM)",
-        "StackedEnsemble": "Stacked Ensemble",
-    },
+    CLASSIFICATION: ("GBM", "DRF", "GLM", "DeepLearning", "NaiveBayes", "StackedEnsemble"),
+    REGRESSION: ("GBM", "DRF", "GLM", "StackedEnsemble"),
 }
 MAX_MODELS = 20
 SEED = 1

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabloom.functions.columns import DuplicateColumn, col, require_columns
+from tabloom.functions.columns import DuplicateColumn, col, field_type, require_columns
 from tabloom.operators.merge import merge
 from tabloom.session import scratch_folder
 
@@ -26,15 +27,27 @@ def sorted_categories(df: DataFrame, column: str, at_most: int | None = None) ->
 # -- one-hot ------------------------------------------------------------------
 
 def one_hot_categories(df: DataFrame, columns: list[str], max_categories: int | None = None) -> dict[str, list]:
-    """The categories of each column; each becomes a column of the plan, which a caller may limit."""
-    found = {}
-    for c in columns:
-        values = sorted_categories(df, c, max_categories)
-        if values is None:
+    """The categories of each column, from one pass; each becomes a column of the plan, which a caller may limit."""
+    require_columns(df, columns)
+    types = [field_type(df, c) for c in columns]
+    # a cell has its value in the field of its column, so all types keep their order
+    cells = [
+        F.struct(F.lit(i).alias("i"), *[(col(c) if j == i else F.lit(None).cast(t)).alias(f"v{j}") for j, t in enumerate(types)])
+        for i, c in enumerate(columns)
+    ]
+    fields = [f"v{j}" for j in range(len(columns))]
+    distinct = df.select(F.inline(F.array(*cells))).filter(reduce(Column.__or__, [F.col(f).isNotNull() for f in fields])).distinct()
+    if max_categories is not None:  # no more than show that there are too many
+        first = F.row_number().over(Window.partitionBy("i").orderBy(*fields))
+        distinct = distinct.withColumn("n", first).filter(F.col("n") <= max_categories + 1)
+    found: dict[str, list] = {c: [] for c in columns}
+    for row in distinct.orderBy("i", *fields).collect():
+        found[columns[row["i"]]].append(row[f"v{row['i']}"])
+    for c, values in found.items():
+        if max_categories is not None and len(values) > max_categories:
             raise TooManyCategories(
                 f"column '{c}' has more than {max_categories} categories; raise max_categories or label-encode it"
             )
-        found[c] = values
     return found
 
 

@@ -30,6 +30,7 @@ def sample_columns(keys: DataFrame, key: str, today: datetime.date, seed: int =
         ":",
         *[F.lpad(part.cast("string"), 2, "0") for part in (F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)],
     )
+    # Names, texts and ranges of the sample table's columns
     return keys.select(
         F.concat(F.lit("String_"), k.cast("string")).alias("StringColumn"),
         (uniform(k, at("float")) * 100.0).alias("Float64Column"),

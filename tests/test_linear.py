@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import math
 
 import numpy as np
@@ -9,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import MissingColumn
-from tabloom.ml import contract, evaluate, linear
+from tabloom.ml import contract, dictionary, evaluate, linear
 from tabloom.ml.split import fold
+from tabloom.operators import encode
 
 
 @pytest.fixture(scope="module")
@@ -115,3 +117,44 @@ def test_contract_guards(spark, learnt):
         contract.score_table(learnt, lambda d: d, spark.createDataFrame([(1.0, "a", 1.0, 1)], "x double, t string, gone double, n int"), "actual", [])
     empty = contract.checks(learnt, spark.createDataFrame([], "x double, t string, gone double, n int"))
     assert {(r.rows, r.missing, r.unseen) for r in empty.collect()} == {(0, 0, 0)}
+
+
+def test_dictionary_numbers_values_of_all_text_columns(spark):
+    rows = [(i, f"w{i % 900:04d}" + "x" * 200 if i % 11 else None, "ab"[i % 2], i % 3 == 0, None if i % 5 == 0 else float(i), i % 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id bigint, word string, t string, flag boolean, x double, y bigint").repartition(6)
+    found = dictionary.learn(df, "y", leave_out=("id",))
+    words = sorted({r[1] for r in rows if r[1]})
+    assert found.size == 2 + len(words) + 2
+    assert [tuple(r) for r in found.values.orderBy("slot").collect()] == [(0, w, 2 + i) for i, w in enumerate(words)] + [(1, "a", 2 + len(words)), (1, "b", 3 + len(words))]
+    fresh = spark.createDataFrame([(1, words[5], "b", True, None), (2, "unseen", None, None, 4.0)], "id bigint, word string, t string, flag boolean, x double")
+    out = {r.id: r for r in dictionary.encode(fresh, found).withColumn("v", dictionary.as_vector("features")).collect()}
+    mean = sum(r[4] for r in rows if r[4] is not None) / sum(r[4] is not None for r in rows)
+    assert list(out[1].features.indices) == [0, 1, 7, 3 + len(words)] and out[1].features["values"] == [1.0, pytest.approx(mean), 1.0, 1.0]
+    assert list(out[2].features.indices) == [0, 1] and out[2].features["values"] == [pytest.approx(667 / 2000), 4.0]
+    assert out[1].v.size == found.size and out[1].v[7] == 1.0
+
+
+def test_dictionary_edges(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, None, 3.0)], "id bigint, t string, y double")
+    found = dictionary.learn(df, "y")
+    assert found.size == 1 and [r.features.indices for r in dictionary.encode(df, found).collect()] == [[0], [0]]
+    with pytest.raises(TypeError, match="m "):
+        dictionary.learn(spark.createDataFrame([({"a": 1}, 1)], "m map<string,int>, y int"), "y")
+    empty = dictionary.learn(df.limit(0), "y")
+    assert empty.size == 1 and dictionary.encode(df.limit(0), empty).count() == 0
+
+
+def test_categories_of_all_columns_come_from_one_pass(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(_):
+        reads.add(1)
+        return True
+
+    df = spark.range(60).select("id", (F.col("id") % 3).alias("n"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 2).cast("int")).alias("day"), F.when(F.col("id") % 4 > 0, F.concat(F.lit("z"), F.col("id") % 2)).alias("t")).filter(seen("id"))
+    found = encode.one_hot_categories(df, ["t", "n", "day"])
+    assert reads.value == 60
+    assert found == {"t": ["z0", "z1"], "n": [0, 1, 2], "day": [datetime.date(2024, 1, 1), datetime.date(2024, 1, 2)]}
+    with pytest.raises(encode.TooManyCategories, match="'n'"):
+        encode.one_hot_categories(df, ["t", "n"], 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.ml import evaluate, split, train
+from tabloom.ml import dictionary, evaluate, split, train
 from tabloom.ml.features import CLASSIFICATION, REGRESSION, feature_pipeline, label_stage
 from tabloom.session import scratch_path
 from workload.registry import query, rounded, table
@@ -102,6 +102,29 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labeller.transform(prepared).select("doc_id", "label", vector_to_array("features").alias("features"))
 
 
+_ALL = "SELECT l.doc_id, l.quality, l.toxic, d.text, d.lang, d.source, d.n_chars FROM labels l JOIN documents d USING (doc_id)"
+
+
+@query(
+    "feature_dictionary",
+    f"""WITH l AS ({_ALL}),
+             v AS (SELECT DISTINCT 0 AS c, text AS v FROM l WHERE text IS NOT NULL UNION ALL SELECT DISTINCT 1, lang FROM l WHERE lang IS NOT NULL
+                   UNION ALL SELECT DISTINCT 2, source FROM l WHERE source IS NOT NULL),
+             s AS (SELECT c, v, 1 + row_number() OVER (ORDER BY c, v) AS slot FROM v)
+        SELECT doc_id, 0 AS slot, toxic::DOUBLE AS value FROM l UNION ALL SELECT doc_id, 1, n_chars FROM l
+        UNION ALL SELECT doc_id, slot, 1.0 FROM l JOIN s ON c = 0 AND v = text
+        UNION ALL SELECT doc_id, slot, 1.0 FROM l JOIN s ON c = 1 AND v = lang
+        UNION ALL SELECT doc_id, slot, 1.0 FROM l JOIN s ON c = 2 AND v = source""",
+)
+def feature_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sparse features of all columns, whole texts included, an entry a row."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    labelled = table(spark, sf_dir, "labels").join(documents, "doc_id")
+    found = dictionary.encode(labelled, dictionary.learn(labelled, "quality", leave_out=("doc_id",)))
+    entries = F.arrays_zip(F.col("features.indices").alias("slot"), F.col("features.values").alias("value"))
+    return found.select("doc_id", F.inline(entries)).select("doc_id", F.col("slot").cast("bigint").alias("slot"), "value")
+
+
 def _classify(spark: SparkSession, sf_dir: str, families: list[str], max_models: int) -> train.TrainingRun:
     return train.train(_labelled(spark, sf_dir), "quality", CLASSIFICATION, "doc_id", families, max_models)
 
