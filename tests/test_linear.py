@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import MissingColumn
-from tabloom.ml import contract, dictionary, evaluate, linear
+from tabloom.ml import contract, dictionary, evaluate, linear, stacking
 from tabloom.ml.split import fold
 from tabloom.operators import encode
 
@@ -158,3 +158,25 @@ def test_categories_of_all_columns_come_from_one_pass(spark):
     assert found == {"t": ["z0", "z1"], "n": [0, 1, 2], "day": [datetime.date(2024, 1, 1), datetime.date(2024, 1, 2)]}
     with pytest.raises(encode.TooManyCategories, match="'n'"):
         encode.one_hot_categories(df, ["t", "n"], 2)
+
+
+def test_stack_weighs_every_variant_and_is_not_above_the_best(spark, noisy):
+    made = stacking.stack(noisy, ["a", "b"], "y", "id", penalties=[0.0, 0.1, 1.0, 10.0])
+    assert len(made.models) == len(made.found.weights) == 4 and min(made.found.weights) >= 0
+    assert made.found.loss <= min(made.found.base) + 1e-9
+    out = made.predict(noisy)
+    assert out.columns == [*noisy.columns, "predict"] and out.filter("predict IS NULL").count() == 0 and out.count() == 500
+    frame = stacking.out_of_fold(linear.moments(noisy, ["a", "b"], "y", "id"), noisy, "id", [0.1]).toPandas()
+    assert made.found.base[1] == pytest.approx(((frame["y"] - frame["base0"]) ** 2).mean(), rel=1e-9)
+    with pytest.raises(ValueError):
+        stacking.level_one_weights(noisy.limit(0), ["a"], "y")
+
+
+def test_nonnegative_weights_are_optimal():
+    rng = np.random.default_rng(9)
+    for _ in range(30):
+        x, y = rng.normal(size=(50, 4)), rng.normal(size=50)
+        w = stacking.nonnegative(x.T @ x, x.T @ y)
+        slope = x.T @ (x @ w - y)
+        assert (w >= 0).all() and (slope > -1e-8).all() and abs(slope[w > 0]).max(initial=0) < 1e-7
+    assert stacking.nonnegative(np.zeros((2, 2)), np.zeros(2)).tolist() == [0.0, 0.0]

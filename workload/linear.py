@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.ml import contract, evaluate, linear
+from tabloom.ml import contract, evaluate, linear, stacking
 from tabloom.session import scratch_path
 from workload.registry import query, rounded, table
 
@@ -92,6 +92,32 @@ def linear_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(found, 4, "importance"), 8, "share")
 
 
+_STACK = (0.01, 1.0)
+_LEVEL_ONE = f"""WITH {_SUMS}, p AS (SELECT unnest([{', '.join(map(str, _STACK))}])::DOUBLE AS l),
+    rest AS (SELECT f.fold, l, {', '.join(f't.{x} - f.{x} AS {x}' for x in 'n a b y aa ab bb ay by_ yy'.split())} FROM f, t, p),
+    {_sql_solved('rest')},
+    r AS (SELECT l_orderkey, l_linenumber, p AS actual, any_value(mp + w0 + w1 * (q - mq) + w2 * coalesce(d - md, 0)) FILTER (l < 0.5) AS u,
+                 any_value(mp + w0 + w1 * (q - mq) + w2 * coalesce(d - md, 0)) FILTER (l > 0.5) AS v
+          FROM g JOIN i USING (fold), means GROUP BY l_orderkey, l_linenumber, p),
+    z AS (SELECT var_pop(u) AS uu, var_pop(v) AS vv, covar_pop(u, v) AS uv, covar_pop(u, actual) AS ua, covar_pop(v, actual) AS va, var_pop(actual) AS aa,
+                 avg((actual - u) ** 2) AS base0, avg((actual - v) ** 2) AS base1 FROM r),
+    k AS (SELECT (ua * vv - uv * va) / (uu * vv - uv * uv) AS x, (uu * va - uv * ua) / (uu * vv - uv * uv) AS y, * FROM z UNION ALL
+          SELECT greatest(ua / uu, 0), 0, * FROM z UNION ALL SELECT 0, greatest(va / vv, 0), * FROM z),
+    o AS (SELECT *, aa - 2 * x * ua - 2 * y * va + x * x * uu + 2 * x * y * uv + y * y * vv AS loss FROM k WHERE x >= 0 AND y >= 0)"""
+
+
+@query(
+    "linear_stack",
+    f"""{_LEVEL_ONE} SELECT round(min(loss) / 1e6, 6) AS loss, round(any_value(base0) / 1e6, 6) AS base0, round(any_value(base1) / 1e6, 6) AS base1,
+           true AS weights_not_negative, bool_and(loss >= (SELECT min(loss) FROM o)) AND min(loss) <= least(any_value(base0), any_value(base1)) AS not_above_best FROM o""",
+)
+def linear_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold predictions of each variant and their best weights that are not negative."""
+    found = stacking.stack(_lineitem(spark, sf_dir), _FEATURES, "l_extendedprice", "l_orderkey", _STACK).found
+    row = (found.loss / 1e6, *[b / 1e6 for b in found.base], min(found.weights) >= 0, found.loss <= min(found.base))
+    return rounded(spark.createDataFrame([row], "loss double, base0 double, base1 double, weights_not_negative boolean, not_above_best boolean"), 6, "loss", "base0", "base1")
+
+
 @query(
     "permutation_importance",
     """WITH h AS (SELECT p_partkey, p_size, p_retailprice, 2 * p_size + p_retailprice / 100 AS y,

@@ -90,7 +90,7 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice"
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_orderdate", "o_totalprice"
     )
 
 
