@@ -22,7 +22,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tabloom.functions.columns import DuplicateColumn, MissingColumn, col, field_type, is_numeric
-from tabloom.functions.scratch import written
 
 SALTS = 64
 JOIN_TYPES = ("inner", "left", "right", "outer")
@@ -140,13 +139,17 @@ def find_hot_keys(
         .groupBy("side").agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))
     )
     listed = merged.select("side", F.explode(F.expr(f"approx_top_k_estimate(sketch, {LISTED})")).alias("item"))
-    likely = written(listed.filter(F.col("item.count") > bucket_rows).select("side", F.col("item.item").alias("hash")), "likely-keys")
-    if likely.isEmpty():
+    # at most LISTED rows a side, which become small tables of the plan
+    likely = listed.filter(F.col("item.count") > bucket_rows).select("side", F.col("item.item").alias("hash")).collect()
+    if not likely:
         return HotKeys(key_type)
-    counted = hashes.join(F.broadcast(likely), ["side", "hash"], "left_semi").groupBy("side", "hash").count()
-    hot = written(counted.filter(F.col("count") > bucket_rows).select("side", "hash", F.ceil(F.col("count") / bucket_rows).alias("salts")), "hot-keys")
-    found = {r["side"] for r in hot.select("side").distinct().collect()}
-    return HotKeys(key_type, **{s: hot.filter(F.col("side") == s).select("hash", "salts") for s in found})
+    spark = left.sparkSession
+    named = spark.createDataFrame(likely, "side string, hash bigint")
+    counted = hashes.join(F.broadcast(named), ["side", "hash"], "left_semi").groupBy("side", "hash").count()
+    hot: dict[str, list[tuple[int, int]]] = {}
+    for r in counted.filter(F.col("count") > bucket_rows).collect():
+        hot.setdefault(r["side"], []).append((r["hash"], -(-r["count"] // bucket_rows)))
+    return HotKeys(key_type, **{side: spark.createDataFrame(rows, "hash bigint, salts bigint") for side, rows in hot.items()})
 
 
 def _named_keys(left: DataFrame, right: DataFrame, key: str, named: dict[str, list[Any]], salts: int) -> HotKeys:
