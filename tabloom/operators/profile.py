@@ -236,6 +236,6 @@ def filter_options(df: DataFrame, fewer_than: int = 100) -> DataFrame:
     return few_values(df, fewer_than)
 
 
-def overview(df: DataFrame, rows: int = 5) -> dict[str, DataFrame]:
-    """What one looks at before choosing a model: first rows, summary, statistics."""
-    return {"head": head(df, rows), "summary": dataset_summary(df), "statistics": describe(df)}
+def overview(df: DataFrame, rows: int = 5, order_by: list[str] | None = None) -> dict[str, DataFrame]:
+    """What one looks at before choosing a model: first rows (in an order, if one is given), summary, statistics."""
+    return {"head": head(df, rows, order_by), "summary": dataset_summary(df), "statistics": describe(df)}

@@ -97,6 +97,39 @@ def describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.describe(_described(spark, sf_dir)), 4, "value")
 
 
+_OVERVIEW = {
+    "count": "count({c})", "null_count": "count(*) - count({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})",
+    "25%": "quantile_cont({c}, 0.25)", "50%": "quantile_cont({c}, 0.5)", "75%": "quantile_cont({c}, 0.75)", "max": "max({c})",
+}
+_OVERVIEW_NUMBERS = ["o_orderkey", "o_custkey", "o_totalprice"]
+
+
+@query(
+    "model_overview",
+    f"""WITH d AS (SELECT o_orderkey, o_custkey, {sql_nulls('o_totalprice', 'o_orderkey', 7)} AS o_totalprice, o_orderstatus FROM orders),
+             h AS (SELECT * FROM d ORDER BY o_orderkey LIMIT 5)
+        SELECT 'summary' AS part, '' AS column_name, 'rows' AS name, count(*)::DOUBLE AS value FROM d
+        UNION ALL SELECT 'summary', '', 'columns', 4 UNION ALL SELECT 'summary', '', 'missing_values', count(*) - count(o_totalprice) FROM d
+        UNION ALL SELECT 'summary', '', 'duplicate_rows', 0
+        UNION ALL SELECT 'head', 'o_orderkey', CAST(o_orderkey AS VARCHAR), o_custkey FROM h """
+    + "".join(
+        f" UNION ALL SELECT 'statistics', '{c}', '{s}', round(CAST({e.format(c=c)} AS DOUBLE), 4) FROM d" for c in _OVERVIEW_NUMBERS for s, e in _OVERVIEW.items()
+    ),
+)
+def model_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is looked at before a model is chosen: first rows, summary and statistics of the numbers."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", with_nulls("o_totalprice", "o_orderkey", 7).alias("o_totalprice"), "o_orderstatus"
+    )
+    parts = profile.overview(orders, order_by=["o_orderkey"])
+    kind = lambda name: F.lit(name).alias("part")
+    summary = parts["summary"].filter("metric <> 'size_mb'").select(kind("summary"), F.lit("").alias("column_name"), F.col("metric").alias("name"), "value")
+    first = parts["head"].select(kind("head"), F.lit("o_orderkey").alias("column_name"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_custkey").cast("double").alias("value"))
+    numbers = parts["statistics"].filter(F.col("column_name").isin(_OVERVIEW_NUMBERS))
+    statistics = numbers.select(kind("statistics"), "column_name", F.col("statistic").alias("name"), F.round("value", 4).alias("value"))
+    return summary.unionByName(first).unionByName(statistics)
+
+
 def _sql_summary(column: str, data_type: str, numeric: bool, source: str = "d") -> str:
     head = f"""'{column}' AS column_name, '{data_type}' AS data_type,
         (count(DISTINCT {column}) + max(CASE WHEN {column} IS NULL THEN 1 ELSE 0 END))::BIGINT AS unique_values,
