@@ -29,14 +29,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As ``written``, dealt by a key, so that joins by it do not shuffle these rows again."""
+def bucketed(df: DataFrame, name: str, key: str) -> tuple[DataFrame, str]:
+    """As ``written``, dealt by a key, so that joins by it do not shuffle these rows again, and the
+    catalog's name of the table, which the caller drops after its last use."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_folder(spark, name) + "/rows"
     title = "tabloom_" + "".join(c if c.isalnum() else "_" for c in path.split("/")[-2])
     df.repartition(n, key).write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(n, key).saveAsTable(title)
-    return spark.table(title)
+    return spark.table(title), title
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

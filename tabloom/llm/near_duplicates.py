@@ -9,17 +9,20 @@ than 1 / threshold, a pair at the threshold stays together in some node of a tre
 that does not fade with the depth. There are as many trees as ``RECALL`` takes at exactly the threshold
 and the last depth.
 
-Small nodes are compared exhaustively by sketch. A node that is large is cut into blocks of texts
-to which the same few pivots are added, so that groups of thousands of near copies become connected
-by a number of pairs that grows with the group, not with its square; it is branched on only while
-it holds texts of different components. A large node that one component fills but for a few texts
-is compared exhaustively as well: these texts go to every block. Pairs that may be similar are confirmed on the full sets,
-links become components, and the next depth looks only at nodes with several components, at every
-pair between them. The work ends when no large node holds several components. Nodes that are still
-large after ``DEPTH`` branchings are compared exhaustively, wide block against wide block, each two
-of them a group of their own.
-
-No task sees more than a block, apart from the texts of one pair; nothing is collected to the
+First every node of a tree's first tokens is compared by sketch: a small one whole, a large one in
+blocks of texts to which the same few pivots are added, so that groups of thousands of near copies
+become connected by a number of pairs that grows with the group, not with its square. A task returns
+the pairs that connect its block; they are confirmed on the full sets, and links become components.
+
+Later depths look only at nodes that hold several components. Nodes of up to ``SMALL`` texts are
+compared exhaustively, wide block against wide block, each two of them a group of their own; larger
+ones are branched. If one component fills a node but for a few texts, these go to every block of the
+node instead. In a group the sketches name the texts that have a possible partner of another component,
+only these get their text, and the task that holds them compares the full sets: it returns the links
+that connect its components, at most one a text, and no pair leaves it. Nodes that are still larger
+after ``DEPTH`` branchings are compared block against block as well.
+
+No task sees more than two wide blocks, apart from the texts of one pair; nothing is collected to the
 driver but counts; every step that others read is a table in the shared folder.
 
 Defined results: null or empty texts, or texts without words, have no shingles, are their own
@@ -38,14 +41,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tabloom.llm.common import as_long, bucketed, table, text_or_empty, written
+from tabloom.llm.common import BLANK, as_long, bucketed, table, text_or_empty, written
 
 BLOCK, PIVOTS, DEPTH = 64, 8, 10
 #: Share of the pairs at exactly the threshold that meet although every node is branched to the last
 #: depth, the trees it takes at least, and nodes a pair at the threshold goes on in for each it is in.
 RECALL, LEAST_TREES, SPREAD = 0.999, 10, 1.2
-#: Texts of a block when every block of a node meets every other.
-WIDE = 512
+#: Texts of a block when every block of a node meets every other, and the largest node that is
+#: compared so before the last depth.
+WIDE, SMALL = 2048, 8192
+#: Rows and columns of the matrices that count overlaps.
+CELLS = 1024
 #: Minwise tokens of a set, and how many of them, the last ones, choose paths.
 TOKENS, PATHS = 512, 128
 #: Standard errors that a sketch's estimate may lie below the threshold.
@@ -163,69 +169,139 @@ def _measured(size: int, trees: int):
     return measure
 
 
-def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Rows of one (node, block) after another: ids, components, sides (texts of one side other than
-    0 are paired among themselves elsewhere), set sizes, sketches."""
+def _groups(batches: Iterable[pa.RecordBatch], last: str) -> Iterator[tuple]:
+    """Rows of one (node, block) after another, each text once: the group, and ids, components, sides
+    (texts of one side other than 0 are paired among themselves elsewhere), set sizes, and the column
+    ``last``, sketches or texts."""
     held: list[tuple] = []
-    last = None
+    group = None
+
+    def whole() -> tuple:
+        ids, *others = (np.concatenate(x) for x in zip(*held))
+        ids, first = np.unique(ids, return_index=True)
+        return group, ids, *(x[first] for x in others)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        node, block, ids, comps, counts = (batch.column(i).to_numpy() for i in range(5))
-        side = batch.column(5).to_numpy()
-        bits = np.frombuffer(b"".join(batch.column(6).to_pylist()), _U).reshape(len(ids), -1)
+        node, block, ids, comps, counts, side = (batch.column(c).to_numpy() for c in ("node", "block", "id", "comp", "count", "side"))
+        if last == "bits":
+            values = np.frombuffer(b"".join(batch.column(last).to_pylist()), _U).reshape(len(ids), -1)
+        else:
+            values = np.empty(len(ids), object)
+            values[:] = batch.column(last).to_pylist()
         cuts = np.flatnonzero((node[1:] != node[:-1]) | (block[1:] != block[:-1])) + 1
         for a, b in zip([0, *cuts], [*cuts, len(node)]):
-            here = (node[a], block[a])
-            if held and here != last:
-                yield tuple(np.concatenate(x) for x in zip(*held))
+            here = (int(node[a]), int(block[a]))
+            if held and here != group:
+                yield whole()
                 held = []
-            last = here
-            held.append((ids[a:b], comps[a:b], side[a:b], counts[a:b], bits[a:b]))
+            group = here
+            held.append((ids[a:b], comps[a:b], side[a:b], counts[a:b], values[a:b]))
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held))
+        yield whole()
+
+
+def _partners(i: int, comps: np.ndarray, side: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """Which texts after ``i`` it may be linked with: of another component, not paired elsewhere, of a size that allows it."""
+    c, n = counts[i + 1 :], counts[i]
+    may = (comps[i + 1 :] != comps[i]) & (100 * np.minimum(c, n) >= percent * np.maximum(c, n))
+    return may & (side[i + 1 :] != side[i]) if side[i] else may
+
+
+def _connecting(pairs: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those of the pairs that connect what the ones before do not."""
+    parent: dict[int, int] = {}
 
+    def root(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
 
-def _alike(least: float, percent: int, spanning: bool):
-    """Pairs of a group between different components whose sketches agree in at least ``least``
-    tokens and whose sizes allow the similarity. ``spanning``: only those that connect the group,
-    the most alike first."""
+    for x, y in pairs:
+        a, b = root(x), root(y)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            yield x, y
+
+
+def _alike(least: float, percent: int):
+    """Pairs that connect a group, the most alike first, of different components whose sketches agree
+    in at least ``least`` tokens and whose sizes allow the similarity."""
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, found = ["a", "b", "ca", "cb"], []
-        for ids, comps, side, counts, bits in _groups(batches):
-            ids, first = np.unique(ids, return_index=True)
-            comps, side, counts, bits = comps[first], side[first], counts[first], bits[first]
-            if len(ids) < 2:
-                continue
-            agree = np.stack([agreement(bits, x) for x in bits])
-            fits = 100 * np.minimum.outer(counts, counts) >= percent * np.maximum.outer(counts, counts)
-            told = (side[:, None] == side[None, :]) & (side[:, None] > 0)
-            a, b = np.nonzero(np.triu(agree >= least, 1) & (comps[:, None] != comps[None, :]) & fits & ~told)
-            if spanning and len(a) > 1:
-                order = np.argsort(-agree[a, b], kind="stable")
-                parent = list(range(len(ids)))
-                keep = []
-                for e in order:
-                    x, y = a[e], b[e]
-                    while parent[x] != x:
-                        x = parent[x]
-                    while parent[y] != y:
-                        y = parent[y]
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-                        keep.append(e)
-                a, b = a[keep], b[keep]
-            found.append((ids[a], ids[b], comps[a], comps[b]))
-            if sum(len(x[0]) for x in found) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names)
-                found = []
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names)
+        for _, ids, comps, side, counts, bits in _groups(batches, "bits"):
+            near = []
+            for i in range(len(ids) - 1):
+                agree = agreement(bits[i + 1 :], bits[i])
+                at = np.flatnonzero(_partners(i, comps, side, counts, percent) & (agree >= least))
+                near += zip((-agree[at]).tolist(), [i] * len(at), (at + i + 1).tolist())
+            pairs = list(_connecting((a, b) for _, a, b in sorted(near)))
+            if pairs:
+                a, b = np.array(pairs).T
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[a], ids[b], comps[a], comps[b])], ["a", "b", "ca", "cb"])
 
     return compare
 
 
+def _possible(least: float, percent: int):
+    """The rows of a group whose sketch has a partner, as in ``_alike``."""
+
+    def select(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (node, block), ids, comps, side, counts, bits in _groups(batches, "bits"):
+            some = np.zeros(len(ids), bool)
+            for i in range(len(ids) - 1):
+                found = _partners(i, comps, side, counts, percent) & (agreement(bits[i + 1 :], bits[i]) >= least)
+                some[i + 1 :] |= found
+                some[i] |= found.any()
+            if some.any():
+                n = int(some.sum())
+                columns = [np.full(n, node), np.full(n, block), ids[some], comps[some], counts[some], side[some]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["node", "block", "id", "comp", "count", "side"])
+
+    return select
+
+
+def _overlaps(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """How many members each set shares with each, a slab of rows of that matrix after another."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    code, owner = (np.cumsum(held > 1) - 1)[code[held[code] > 1]], owner[held[code] > 1]  # those of one set alone overlap nothing
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    width = int(code[-1]) + 1 if len(code) else 0
+    for top in range(0, len(sets), CELLS):
+        slab = np.zeros((min(CELLS, len(sets) - top), len(sets)), np.float32)
+        for left in range(0, width, CELLS):
+            a, b = np.searchsorted(code, [left, left + CELLS])
+            holds = np.zeros((len(sets), CELLS), np.float32)
+            holds[owner[a:b], code[a:b] - left] = 1
+            slab += holds[top : top + CELLS] @ holds.T
+        yield slab
+
+
+def _linked(size: int, percent: int):
+    """Links that connect the components of a group, by the full sets of its texts."""
+
+    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, comps, side, counts, texts in _groups(batches, "text"):
+            found, i = [], 0
+            for slab in _overlaps([shingles(x, size) for x in texts]):
+                for row in slab:
+                    both = row[i + 1 :].astype(np.int64)
+                    linked = 100 * both >= percent * (counts[i] + counts[i + 1 :] - both)
+                    others = np.unique(comps[i + 1 :][linked & _partners(i, comps, side, counts, percent)])
+                    found += zip([int(comps[i])] * len(others), others.tolist())
+                    i += 1
+                found = list(_connecting(found))
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return link
+
+
 def _confirmed(size: int, percent: int):
     def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,7 +378,7 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
     ways = texts.select(F.col("node_id").alias("id"), "paths")
     # each tree's first token
     nodes = texts.select(F.col("node_id").alias("id"), F.explode(F.array(*[F.xxhash64(F.lit(t), F.get("starts", F.lit(t))) for t in range(trees)])).alias("node"))
-    comps, tested, bodies = None, None, None
+    comps, bodies = None, None
     for depth in range(DEPTH + 1):
         # of every node: its size, its largest component and how many texts that has
         if comps is None:
@@ -320,49 +396,50 @@ def _joined(docs: DataFrame, key: str, text: str, size: int, percent: int) -> tu
         outside = (F.col("size") > 2 * BLOCK) & few & (F.col("comp") != F.col("main"))
         apart = active.filter(outside).select("node", every, "id", "comp")
         crowded = (F.col("size") > 2 * BLOCK) & ~few
-        inside = active.filter(~outside if depth < DEPTH else ~outside & ~crowded)
-        members = inside.select("node", F.pmod(F.xxhash64("id", F.lit(depth)), blocks).alias("block"), "id", "comp")
+        faced = crowded & (F.lit(depth == DEPTH) | (F.col("size") <= SMALL)) if depth else F.lit(False)
+        members = active.filter(~outside & ~faced).select("node", F.pmod(F.xxhash64("id", F.lit(depth)), blocks).alias("block"), "id", "comp")
         # pivots of another large node come from its smallest components, another set at each depth
-        large = active.filter(crowded)
+        large = active.filter(crowded & ~faced)
         share = large.groupBy("node", "comp").agg(F.count("*").alias("of_comp"))
         rank = F.struct("of_comp", F.xxhash64("id", F.lit(depth + 1)).alias("by"), "id", "comp", "size")
         chosen = large.join(share, ["node", "comp"]).groupBy("node", F.pmod(F.xxhash64("id"), F.lit(PIVOTS)).alias("slot")).agg(F.min(rank).alias("p"))
         pivots = chosen.select("node", "p.id", "p.comp", "p.size").select("node", every, "id", "comp")
         # those in every block are paired among themselves in the first
-        added = (apart.union(pivots) if depth < DEPTH else apart).withColumn("side", (F.col("block") > 0).cast("int"))
+        added = apart.union(pivots).withColumn("side", (F.col("block") > 0).cast("int"))
         grouped = members.withColumn("side", F.lit(0)).union(added)
-        if depth == DEPTH:
-            grouped = grouped.union(_facing(large))
+        if depth:
+            grouped = grouped.union(_facing(active.filter(faced)))
         grouped = grouped.join(known, "id").select("node", "block", "id", "comp", "count", "side", "bits")
         dealt = grouped.repartition("node", "block").sortWithinPartitions("node", "block")
-        pairs = dealt.mapInArrow(_alike(least, percent, depth == 0 and DEPTH > 0), "a long, b long, ca long, cb long").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if bodies is None:  # pairs of any depth come from nodes that the first depth found active
+        if bodies is None:  # texts of any depth come from nodes that the first depth found active
             want = texts.join(active.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi").select(F.col("node_id").alias("id"), "order", "h")
-            bodies = bucketed(rows.select("key.order", "key.h", "text").join(want, ["order", "h"]).dropDuplicates(["order", "h"]).select("id", "text"), "texts", "id")
-        if not pairs.isEmpty():
+            bodies, title = bucketed(rows.select("key.order", "key.h", "text").join(want, ["order", "h"]).dropDuplicates(["order", "h"]).select("id", "text"), "texts", "id")
+        if depth:
+            group = "node long, block long, id long, comp long, count long, side int"
+            possible = written(dealt.mapInArrow(_possible(least, percent), group), "possible")
+            full = possible.join(bodies, "id").repartition("node", "block").sortWithinPartitions("node", "block")
+            new = written(full.mapInArrow(_linked(size, percent), "a long, b long").distinct(), "links")
+        else:
+            pairs = written(dealt.mapInArrow(_alike(least, percent), "a long, b long, ca long, cb long").distinct(), "pairs")
             met = pairs.join(bodies.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(bodies.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-            results = written(met.select("a", "b", "ca", "cb", "x", "y").mapInArrow(_confirmed(size, percent), "a long, b long, ca long, cb long, linked boolean"), "tested")
-            tested = results.select("a", "b") if tested is None else tested.union(results.select("a", "b"))
-            # links between components so far make larger ones of them
-            new = results.filter("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-            if not new.isEmpty():
-                merged = components(new)
-                if comps is not None:
-                    moved = comps.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
-                    merged = written(moved.union(merged), "components")
-                comps = merged
+            tested = met.select("a", "b", "ca", "cb", "x", "y").mapInArrow(_confirmed(size, percent), "a long, b long, ca long, cb long, linked boolean")
+            new = written(tested.filter("linked").select(F.col("ca").alias("a"), F.col("cb").alias("b")), "links")
+        if not new.isEmpty():  # links between components so far make larger ones of them
+            merged = components(new)
+            if comps is not None:
+                moved = comps.join(merged.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+                merged = written(moved.union(merged), "components")
+            comps = merged
         if depth == DEPTH or depth and large.isEmpty():
             break
-        # large nodes are branched; others of the first depth, which showed the pairs that connect
-        # them, show every other pair between components at the next
-        branched = large.join(ways, "id").select("id", F.explode(F.array_distinct(F.array(
+        if not depth:  # the pairs that connect them are known, so nodes of one component can go
+            nodes = active.select("id", "node")
+            continue
+        nodes = written(large.join(ways, "id").select("id", F.explode(F.array_distinct(F.array(
             _child(F.col("node"), F.col("paths"), 1),
             F.when(F.pmod(F.xxhash64("node"), F.lit(100)) < round(100 * second_branch(threshold)), _child(F.col("node"), F.col("paths"), 2)),
-        ))).alias("node")).filter("node IS NOT NULL")
-        nodes = written(branched if depth else active.filter(~crowded).select("id", "node").union(branched), "branches")
+        ))).alias("node")).filter("node IS NOT NULL"), "branches")
+    docs.sparkSession.sql(f"DROP TABLE IF EXISTS {title}")
     if comps is None:
         labelled = texts.select("digest", "order", "h", F.col("node_id").alias("comp"))
     else:
@@ -384,12 +461,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     """``docs`` with one row of every component, the one of the smallest id (then of the smallest
     text hash); rows without words are components of their own."""
     sets, firsts = _joined(docs, key, text, size, percent)
-    stay = sets.join(firsts, "digest", "left").filter("digest IS NULL OR (order = first.order AND h = first.h)")
-    stay = written(stay.select(F.col("order").alias("_order"), F.col("h").alias("_h"), F.col("digest").isNull().alias("_all")).distinct(), "survivors")
-    keyed = docs.withColumns({"_order": F.coalesce(as_long(key), F.lit(NO_ID)), "_h": F.xxhash64(text_or_empty(text))})
+    stay = written(sets.join(firsts, "digest").filter("order = first.order AND h = first.h").select("order", "h").distinct(), "survivors")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # apart from the columns added here
+    keyed = docs.select(row, F.coalesce(as_long(key), F.lit(NO_ID)).alias("order"), F.xxhash64(text_or_empty(text)).alias("h"))
+    without = F.btrim(text_or_empty(text), F.lit(BLANK)) == ""
     # of rows equal in id and text one stays
-    again = F.row_number().over(Window.partitionBy("_order", "_h").orderBy("_order"))
-    return keyed.join(stay, ["_order", "_h"]).withColumn("_again", again).filter("_all OR _again = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = keyed.join(stay, ["order", "h"]).dropDuplicates(["order", "h"])
+    return first.select("row.*").union(docs.filter(without))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,9 +253,11 @@ def test_pipeline(spark, sf_dir, tmp_path):
     assert order == [r.doc_id for r in after.selectExpr("doc_id", "_metadata.file_name f", "_metadata.row_index i").orderBy("f", "i").collect()]
 
 
-def test_pairs_inside_a_large_family(spark, monkeypatch):
+@pytest.mark.parametrize("limits", [{"DEPTH": 1}, {"WIDE": 50}, {"DEPTH": 2, "SMALL": 150, "WIDE": 40, "CELLS": 32}], ids=["last depth", "blocks", "branches"])
+def test_pairs_inside_a_large_family(spark, monkeypatch, limits):
     # 400 texts 0.71 alike, and a copy of some that is 0.8 to 0.82 like its own only
-    monkeypatch.setattr(near_duplicates, "DEPTH", 1)
+    for name, value in limits.items():
+        monkeypatch.setattr(near_duplicates, name, value)
     family = [[f"c{i}" for i in range(100)] + [f"w{i}x{j}" for j in range(20)] for i in range(400)]
     family += [family[i][: -12 - i % 2] + [f"z{i}x{j}" for j in range(12 + i % 2)] for i in range(40)]
     docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(family)], "doc_id long, text string")
@@ -263,6 +265,24 @@ def test_pairs_inside_a_large_family(spark, monkeypatch):
     assert got == {i: i - 400 if i >= 400 else i for i in range(440)}
 
 
+def test_overlaps_equal_set_intersections(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "CELLS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(23)]
+    got = np.concatenate(list(near_duplicates._overlaps(sets)))
+    assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j)
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    words = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, words, "a"), (1, words, "a"), (2, words + " more", "b"), (3, "other text", "c"), (None, None, "d"), (None, None, "d"), (4, " \t", "e"), (None, words, "f")]
+    docs = spark.createDataFrame([(*r, r[2], r[2], r[2], r[2]) for r in rows], "doc_id long, text string, order string, h string, _order string, row string, first string")
+    out = near_duplicates.one_of_each(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.h for r in out.collect()) == ["a", "c", "d", "d", "e"]
+    assert near_duplicates.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_pairs_at_the_threshold_stay_together_at_the_last_depth():
     trees, two = near_duplicates.trees_for(0.8), near_duplicates.second_branch(0.8)
     assert trees >= 10 and near_duplicates.recall(0.8, trees, near_duplicates.DEPTH) >= near_duplicates.RECALL
