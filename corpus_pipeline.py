@@ -1,4 +1,9 @@
-"""A corpus from raw documents to token files: each stage reads what the one before has written."""
+"""A corpus from raw documents to token files: each stage reads what the one before has written.
+
+Defined results: columns of ``documents`` keep any name, also those of the operators' own measures;
+null and empty texts fail the quality rules and go, a null id or source stays; of rows equal in id and
+text near-dedup keeps one; an empty table passes every stage and gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +14,10 @@ from tabloom.llm.common import scratch_folder, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the policy rejects."""
-    return quality_ledger.ledger(docs).filter(quality_ledger.passes("v2")).select(*docs.columns)
+    """Documents that no rule of the policy rejects. The ledger sees the row as one column and the text,
+    so that its measures replace no column of the documents."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return quality_ledger.ledger(docs.select(row, "text")).filter(quality_ledger.passes("v2")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,12 +26,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; equal texts go or stay together."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights, a row for each time a document is used, in training order."""
+    """Sources at their target weights, a row with the whole document for each time it is used, in training order."""
     return mixing.mixed(docs)
 
 

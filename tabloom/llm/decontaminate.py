@@ -231,8 +231,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", **names) ->
     """``docs`` without the texts that an item contaminates. A text decides by itself, so equal
     texts go or stay together and rows are matched by the text's hash."""
     keyed = docs.select(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"))
-    bad = contaminated(keyed, benchmark, key="h", **names).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.xxhash64(F.col(f"`{text}`")) == F.col("_bad"), "left_anti")
+    bad = contaminated(keyed, benchmark, key="h", **names).select(F.col("doc_id").alias("h")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # apart from the hash, whatever its columns' names
+    return docs.select(row, F.xxhash64(F.col(f"`{text}`")).alias("h")).join(bad, "h", "left_anti").select("row.*")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@ that demand reaches u, so its time is the inverted integral and its place in the
 order the demand of all sources up to that time.
 
 A source is read in the order of its documents' hashes, again from the start when its words
-run out, until its target is met to the word: the document on the cut gives its first words.
+run out, until its target is met to the word. The mix that is written holds documents whole: the one
+on a source's cut stays where at least half of its words fall to the target.
 
 Defined results: null source is a source of its own, after all others; a null or empty text
 has size 0, takes nothing and has no pass; rows with equal ids and texts follow each other in
 any order, which changes no row's counts; an empty table gives an empty mix; columns of the
-input never clash with the added ones, which ``assign`` puts in one struct column.
+input keep any name in the written mix, as they are carried in one struct; ``assign`` adds the one
+column ``_mix``.
 """
 
 from __future__ import annotations
@@ -94,12 +96,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = 3, shapes=SHAPES) ->
     )
 
 
-def assign(
+def assign(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` (or its columns ``carry``) with a struct ``_mix``: size, source_size, target, taken, and
+    its passes, each (pass, words, position); position is the number of words of all sources used before."""
+    return assigned(docs, **options).select("doc.*", F.col("mix").alias("_mix"))
+
+
+def assigned(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
     weights=WEIGHTS, most: int = 3, shapes=SHAPES, carry: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` (or its columns ``carry``) with a struct ``_mix``: size, source_size, target, taken, and
-    its passes, each (pass, words, position); position is the number of words of all sources used before."""
+    """As ``assign``, with the columns of ``docs`` in a struct ``doc`` and the others in ``mix``."""
     digest = F.md5(F.concat_ws("|", F.col(f"`{key}`").cast("string"), F.md5(text_or_empty(text))))
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in carry or docs.columns]).alias("doc"), F.col(f"`{source}`").cast("string").alias("source"),
@@ -134,31 +141,25 @@ def assign(
     passes = F.filter(F.array(*[one_pass(F.lit(e)) for e in range(most)]), lambda p: p["words"] > 0)
     mixed = placed.select("doc", "d.digest", "d.size", "source_size", "target", passes.alias("passes"))
     return mixed.select(
-        "doc.*",
+        "doc",
         F.struct(
             "size", "source_size", "target", "digest",
             F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"]).alias("taken"), "passes",
-        ).alias("_mix"),
+        ).alias("mix"),
     )
 
 
-def in_training_order(assigned: DataFrame) -> DataFrame:
-    """One row a pass, range-sorted by its position; ``_mix`` gains ``words`` and ``position``."""
-    rows = assigned.withColumn("_pass", F.explode("_mix.passes"))
-    keys = [F.col("_pass.position"), F.col("_mix.digest"), F.col("_pass.pass")]
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+def in_training_order(rows: DataFrame) -> DataFrame:
+    """Rows of ``assigned``, one for each pass that takes half of the document or more, range-sorted
+    by its ``pass.position``."""
+    taken = F.filter("mix.passes", lambda p: 2 * p["words"] >= F.col("mix.size"))
+    keys = [F.col("pass.position"), F.col("mix.digest"), F.col("pass.pass")]
+    return rows.withColumn("pass", F.explode(taken)).repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def mixed(docs: DataFrame, text: str = "text", length: str | None = "n_chars", **names) -> DataFrame:
-    """The mix itself in training order: a row of ``docs`` for each of its passes. A document on a
-    source's cut keeps the words the mix takes, parted by single blanks."""
-    rows = in_training_order(assign(docs, text=text, **names))
-    cut = F.col("_pass.words") < F.col("_mix.size")
-    taken = F.when(cut, F.array_join(F.slice(blank_words(text_or_empty(text)), F.lit(1), F.col("_pass.words").cast("int")), " ")).otherwise(F.col(f"`{text}`"))
-    new = {text: taken}
-    if length in docs.columns:
-        new[length] = F.when(cut, F.length(taken).cast(docs.schema[length].dataType)).otherwise(F.col(f"`{length}`"))
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself in training order: a row of ``docs``, whole, for each of its passes."""
+    return in_training_order(assigned(docs, **options)).select("doc.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
