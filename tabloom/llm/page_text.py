@@ -10,6 +10,8 @@ are aligned by longest common subsequence and lines they share are deleted: they
 site. Lines the page itself marks as its article are kept also when shared, since pages of a site
 quote the same passages; lines in menus, footers, forms, adverts, comments and the like are dropped
 by their marks. So differencing decides on lines that carry no mark, beside an article as well.
+A page whose marks decide every line gets its text where it is parsed; of the others the lines that
+may stay travel as one compressed value, and neighbours meet as hashes of lines.
 
 Defined results: null or empty html gives an empty text; a page without a host, or alone on its
 host, has no partner and only loses marked lines; rows with null or repeated ids and urls give a
@@ -19,6 +21,7 @@ many ranges, so its pages never meet in one task.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
@@ -53,6 +56,7 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, bool, bool]] = []  # tag, unseen, site, article
+        self.places: dict[str, list[int]] = {}  # of the open tags of each name
         self.parts: list[str] = []
         self.lines: list[tuple[str, int]] = []
 
@@ -78,15 +82,15 @@ class _Lines(HTMLParser):
         own_article = tag in ("article", "main") or named.get("role", "").lower() in ("main", "article")
         hidden = "hidden" in named or named.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", named.get("style", ""))
         site = site or tag in CHROME or (tag == "header" and not article) or (bool(mark) and not own_article and tag not in ("html", "body"))
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, unseen or tag in UNSEEN or bool(hidden), site, (article or own_article) and not site))
 
     def _close(self, tag, stop=frozenset()):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if self.open[i][0] in stop:
-                return
+        """Ends the last open ``tag`` and all inside it, unless a tag of ``stop`` opened after it."""
+        last = {t: held[-1] for t in (tag, *stop) if (held := self.places.get(t))}
+        if tag in last and last[tag] == max(last.values()):
+            while len(self.open) > last[tag]:
+                self.places[self.open.pop()[0]].pop()
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
@@ -112,19 +116,32 @@ def _host_and_path(url: str | None) -> tuple[str, list[str]]:
     return host.lower(), [x for x in path.split("/") if x]
 
 
-LINES = "key struct<key:bigint,url:string>, host string, path array<string>, lines array<string>, marks array<int>"
+LINES = "key struct<key:bigint,url:string>, host string, path array<string>, prints array<bigint>, text string, lines binary"
 
 
 def _parsed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each page the hashes of its lines, and its text if marks decide every line; else, compressed,
+    ``[place, mark, line]`` of the lines that are not the site's."""
+    import zstandard
+    from xxhash import xxh3_64_intdigest
+
+    packed = zstandard.ZstdCompressor()
     for batch in batches:
-        found = [lines_of(x) for x in batch.column(1).to_pylist()]
+        prints, texts, lines = [], [], []
+        for html in batch.column(1).to_pylist():
+            found = lines_of(html)
+            prints.append([xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in found])
+            left = [(i, m, t) for i, (t, m) in enumerate(found) if m != SITE]
+            marked = all(m == ARTICLE for _, m, _ in left)
+            texts.append("\n".join(t for _, _, t in left) if marked else None)
+            lines.append(None if marked else packed.compress(json.dumps(left).encode()))
         places = [_host_and_path(x["url"]) for x in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0), pa.array([h for h, _ in places], pa.string()), pa.array([p for _, p in places], pa.list_(pa.string())),
-                pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[m for _, m in x] for x in found], pa.list_(pa.int32())),
+                pa.array(prints, pa.list_(pa.int64())), pa.array(texts, pa.string()), pa.array(lines, pa.binary()),
             ],
-            ["key", "host", "path", "lines", "marks"],
+            ["key", "host", "path", "prints", "text", "lines"],
         )
 
 
@@ -190,9 +207,10 @@ def shared(a: list, b: list) -> set[int]:
     return out
 
 
-def main_text(lines: list[str], marks: list[int], prints: list[int], partner: list[int] | None) -> str:
+def main_text(lines: list[tuple[int, int, str]], prints: list[int], partner: list[int] | None) -> str:
+    """The lines ``(place, mark, text)`` that stay."""
     both = shared(prints, partner) if partner else set()
-    return "\n".join(t for i, (t, m) in enumerate(zip(lines, marks)) if m == ARTICLE or (m == PLAIN and i not in both))
+    return "\n".join(t for i, m, t in lines if m == ARTICLE or i not in both)
 
 
 def _common(a: list[str], b: list[str]) -> int:
@@ -203,28 +221,33 @@ def _common(a: list[str], b: list[str]) -> int:
 
 
 def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    unpacked = zstandard.ZstdDecompressor()
     for batch in batches:
         texts = []
-        for row in batch.select(["path", "lines", "marks", "prints", "near"]).to_pylist():
+        for row in batch.select(["path", "lines", "prints", "near"]).to_pylist():
             best, partner = -1, None
             for near in row["near"]:
                 if _common(near["path"], row["path"]) > best:
                     best, partner = _common(near["path"], row["path"]), near["prints"]
-            texts.append(main_text(row["lines"], row["marks"], row["prints"], partner))
+            texts.append(main_text(json.loads(unpacked.decompress(row["lines"])), row["prints"], partner))
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "text"])
 
 
 def _partners(distinct: DataFrame) -> DataFrame:
-    """``(same, path, near)`` of the distinct pages: up to two pages that may be a page's partner."""
+    """``(same, path, prints, near)`` of the distinct pages that are ``open``, with lines to decide: up to
+    two pages that may be a page's partner. All pages take part in the order and its runs."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # comparing takes time by line, not by byte
     keys = ["host", "path", "same"]
-    ordered = distinct.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = distinct.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
     # the written order numbers the pages: ranges by part, rows by their place in it
     numbered = written(ordered.withColumn("part", F.spark_partition_id()).withColumn("id", F.monotonically_increasing_id()), "page-order")
     sizes = numbered.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("first"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
     offsets = sizes.select("part", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
-    placed = numbered.join(offsets, "part").withColumn("id", F.col("id") + F.col("shift")).drop("shift")
+    placed = numbered.join(offsets, "part").withColumn("id", F.col("id") + F.col("shift")).drop("shift").repartition(n, "id")
     # a run begins where the page before is of another host or no near copy
     sent = placed.select("id", F.struct("host", "path", "prints").alias("page"))
     paired = placed.join(sent.select((F.col("id") + 1).alias("id"), F.col("page").alias("before")), "id", "left")
@@ -252,24 +275,24 @@ def _partners(distinct: DataFrame) -> DataFrame:
     )
     near = F.filter(F.array("before", "after"), lambda x: x.isNotNull() & (F.col("host") != ""))
     return (
-        placed.join(wanted, "id")
+        placed.filter("open").join(wanted, "id")
         .join(sent.select(F.col("id").alias("left"), F.col("page").alias("before")), "left", "left")
         .join(sent.select(F.col("id").alias("right"), F.col("page").alias("after")), "right", "left")
-        .select("same", "path", near.alias("near"))
+        .select("same", "path", "prints", near.alias("near"))
     )
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``(key, url, text, n_chars)`` for every page."""
     rows = pages.select(F.struct(as_long(key).alias("key"), F.col(f"`{url}`").cast("string").alias("url")).alias("key"), F.col(f"`{html}`").cast("string").alias("html"))
-    # lines meet the neighbours' as 64-bit hashes; the text itself stays with its page
-    parsed = rows.mapInArrow(_parsed, LINES).withColumn("prints", F.transform("lines", lambda x: F.xxhash64(x)))
+    parsed = rows.mapInArrow(_parsed, LINES)
     same = F.md5(F.concat_ws(",", "host", F.array_join(F.col("prints").cast("array<string>"), ",")))
     kept = written(parsed.withColumn("same", same), "page-lines")
-    distinct = kept.groupBy("same").agg(F.min(F.struct("host", "path", "prints")).alias("page")).select("same", "page.*")
-    partners = _partners(distinct).withColumnRenamed("path", "place")
-    met = kept.drop("path", "host").join(partners, "same")
-    done = met.select("key", F.col("place").alias("path"), "lines", "marks", "prints", "near").mapInArrow(_extracted, "key struct<key:bigint,url:string>, text string")
+    page = F.min(F.struct("host", "path", "prints")).alias("page")
+    distinct = kept.groupBy("same").agg(page, F.max(F.col("lines").isNotNull()).alias("open")).select("same", "page.*", "open")
+    met = kept.filter("lines IS NOT NULL").select("key", "same", "lines").join(_partners(distinct), "same")
+    done = met.select("key", "path", "lines", "prints", "near").mapInArrow(_extracted, "key struct<key:bigint,url:string>, text string")
+    done = kept.filter("lines IS NULL").select("key", "text").union(done)
     return done.select("key.*", "text", F.length("text").cast("long").alias("n_chars"))
 
 
