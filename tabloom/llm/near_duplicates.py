@@ -51,7 +51,7 @@ RECALL, LEAST_TREES, SPREAD = 0.999, 10, 1.2
 #: compared so before the last depth.
 WIDE, SMALL = 2048, 8192
 #: Rows and columns of the matrices that count overlaps.
-CELLS = 1024
+CELLS = 512
 #: Minwise tokens of a set, and how many of them, the last ones, choose paths.
 TOKENS, PATHS = 512, 128
 #: Standard errors that a sketch's estimate may lie below the threshold.
@@ -286,15 +286,17 @@ def _linked(size: int, percent: int):
 
     def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, comps, side, counts, texts in _groups(batches, "text"):
-            found, i = [], 0
+            label, found, i = comps.copy(), [], 0  # components as the links so far make them
             for slab in _overlaps([shingles(x, size) for x in texts]):
                 for row in slab:
                     both = row[i + 1 :].astype(np.int64)
                     linked = 100 * both >= percent * (counts[i] + counts[i + 1 :] - both)
-                    others = np.unique(comps[i + 1 :][linked & _partners(i, comps, side, counts, percent)])
-                    found += zip([int(comps[i])] * len(others), others.tolist())
+                    at = i + 1 + np.flatnonzero(linked & _partners(i, label, side, counts, percent))
+                    others, first = np.unique(label[at], return_index=True)
+                    if len(others):
+                        found += zip([int(comps[i])] * len(others), comps[at[first]].tolist())
+                        label[np.isin(label, others)] = label[i]
                     i += 1
-                found = list(_connecting(found))
             if found:
                 a, b = np.array(found).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
