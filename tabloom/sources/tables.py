@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import csv as csv_lines
 import re
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from urllib.parse import unquote
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tabloom.functions.columns import DuplicateColumn, col
@@ -42,14 +45,25 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def _first_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each run of rows of one file."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            runs = pc.run_end_encode(batch.column("file_path"))
+            starts = [0, *runs.run_ends.to_pylist()[:-1]]
+            yield batch.take(pa.array(starts[runs.values[0].as_py() == last :], pa.int64()))
+            last = runs.values[-1].as_py()
+
+
 def header_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """``(file_path, header)``: the first line of each CSV file below a folder; files without a line have none.
 
-    One scan of the lines, of which each task keeps one a file. A line's place is that of its block and
-    its number in the task, so a file dealt to several tasks has its first line where its first block is."""
-    lines = spark.read.text(folder, pathGlobFilter="*.csv").select("value", "_metadata.file_path", "_metadata.file_block_start")
-    place = F.struct("file_block_start", F.monotonically_increasing_id())
-    return lines.withColumn("place", place).groupBy("file_path").agg(F.min_by("value", "place").alias("header"))
+    A file's first line is that of its first block, which one task reads in order; the lines pass it as a
+    stream and only the first is kept, so nothing is sorted or held."""
+    lines = spark.read.text(folder, pathGlobFilter="*.csv").filter("_metadata.file_block_start = 0")
+    rows = lines.select("_metadata.file_path", F.col("value").alias("header"))
+    return rows.mapInArrow(_first_lines, rows.schema)
 
 
 def column_names(header: str) -> list[str]:

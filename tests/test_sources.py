@@ -160,6 +160,25 @@ def test_folder_headers_of_files_in_several_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_folder_headers_are_found_without_a_sort(spark, tmp_path):
+    for i in range(30):
+        write(tmp_path, f"f{i}.csv", f"k,v{i % 2}\n" + "k,v\n" * (i % 3))
+    catalogue = tables.header_catalogue(spark, str(tmp_path))
+    plan = catalogue._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+    found = {r["file_path"].rsplit("/", 1)[1]: r["header"] for r in catalogue.collect()}
+    assert found == {f"f{i}.csv": f"k,v{i % 2}" for i in range(30)} and catalogue.count() == 30
+
+
+def test_first_lines_of_files_in_several_batches():
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"file_path": list(p), "header": list(h)}) for p, h in (("aab", "123"), ("", ""), ("b", "4"), ("bcc", "567"), ("de", "89"))]
+    batches[1] = batches[0].slice(0, 0)
+    got = [r for b in tables._first_lines(batches) for r in b.to_pylist()]
+    assert [(r["file_path"], r["header"]) for r in got] == [("a", "1"), ("b", "3"), ("c", "6"), ("d", "8"), ("e", "9")]
+
+
 def test_folder_guards(spark, tmp_path):
     write(tmp_path, "a.csv", "x,X,file_name\n1,2,3\n")
     with pytest.raises(DuplicateColumn):
