@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tabloom.session import scratch_path
@@ -11,6 +13,18 @@ BLANK = " \t\n\u000b\f\r"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+_kept: dict[str, object] = {}
+
+
+def worker_table(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between its tasks, made where it is not there. It keeps one thing only:
+    workers live through all stages of a job, and the tables of earlier operators would add up."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared scratch folder, removed when the driver's JVM ends."""
     path = scratch_path(spark, name)

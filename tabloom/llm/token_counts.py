@@ -30,8 +30,7 @@ def _counted(path: str):
         pieces = word_pieces(path)
         for batch in batches:
             tokens = np.zeros(batch.num_rows, np.int64)
-            for row, text in enumerate(batch.column(1)):
-                seen = pieces.numbers(text.as_buffer().to_pybytes())
+            for row, seen in enumerate(pieces.numbers(x.as_buffer().to_pybytes() for x in batch.column(1))):
                 # distinct words of the document, their frequencies, their pieces
                 words, times = np.unique(seen, return_counts=True)
                 tokens[row] = int((pieces.length[words] * times).sum())

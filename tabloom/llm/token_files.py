@@ -85,8 +85,8 @@ def _writer(folder: str, path: str, end: int, length: int):
             sequences, index = _Sequences(a, length, kind), pa.ipc.new_file(b, DOCS)
             while first is not None:
                 starts, sizes = [], []
-                for text in first.column(1):
-                    ids = np.append(pieces.ids(text.as_buffer().to_pybytes()), np.uint32(end))
+                for ids in pieces.ids(x.as_buffer().to_pybytes() for x in first.column(1)):
+                    ids = np.append(ids, np.uint32(end))
                     sequences.add(ids)
                     starts.append(n_ids)
                     sizes.append(len(ids))

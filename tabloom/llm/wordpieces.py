@@ -11,13 +11,29 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from tabloom.llm.common import worker_table
+
+#: Bytes of texts whose new words are learnt together.
+AT_ONCE = 1 << 20
+#: Letters A-Z and those of Latin-1, then any marks of ASCII punctuation but the apostrophe: two pre-tokens at most.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
 #: Words kept by a task; the table starts anew when it has outgrown this between batches.
 KEPT_WORDS = 1_000_000
 
 
+def _byte_level() -> dict[int, int]:
+    """The character that stands for a byte: itself if it is printable, else one of those from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
+
+
+_BYTE_LEVEL = _byte_level()
+
+
 def needs_split(path: str) -> None:
     """Raises unless the tokenizer treats white-space words one by one."""
     spec = json.load(open(path, encoding="utf-8"))
@@ -51,25 +67,38 @@ class WordPieces:
         self.length = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def _learn(self, words: list[bytes]) -> None:
-        """ASCII letters, with a mark of punctuation at most, are lower-cased and go to the model
+    def _learn(self, words: Iterable[bytes]) -> None:
+        """Letters, with marks of punctuation at most, are lower-cased and go to the model
         itself: they are one pre-token, or two. All other words take the tokenizer's whole way."""
-        rest, fresh, model = [], {}, self.tokenizer.model
+        rest, fresh, parts, tokenize, plain = [], {}, {}, self.tokenizer.model.tokenize, _PLAIN.fullmatch
+
+        def pieces(part: bytes) -> list[int]:
+            text = part.decode()
+            if not part.isascii():
+                text = text.lower().encode().decode("latin-1").translate(_BYTE_LEVEL)
+            return [t.id for t in tokenize(text)]
+
         for word in words:
-            base, mark = (word[:-1], word[-1:]) if word[-1:] in (b".", b",") else (word, b"")
-            if not self.plain or not (base.isalpha() and base.isascii()):
+            if word.isalpha():
+                base, mark = word, b""
+            elif found := plain(word):
+                base, mark = found.groups()
+            else:
+                rest.append(word)
+                continue
+            if not self.plain:
                 rest.append(word)
                 continue
             low = base.lower()
-            ids = fresh.get(low)
+            ids = parts.get(low)
             if ids is None:
-                k = self.number.get(low)
-                if k is None:
-                    ids = fresh[low] = [t.id for t in model.tokenize(low.decode())]
-                else:
-                    ids = self.pool[self.start[k] : self.start[k] + self.length[k]].tolist()
-            if word != low:
-                fresh[word] = ids + [t.id for t in model.tokenize(mark.decode())] if mark else ids
+                ids = parts[low] = pieces(low)
+            if mark:
+                end = parts.get(mark)
+                if end is None:
+                    end = parts[mark] = pieces(mark)
+                ids = ids + end
+            fresh[word] = ids
         self._add(list(fresh), [len(x) for x in fresh.values()], [x for ids in fresh.values() for x in ids])
         self._learn_whole(rest)
 
@@ -102,30 +131,36 @@ class WordPieces:
                 counts = np.bincount(owner, minlength=len(part)) if len(ids) else np.zeros(len(part), np.int64)
             self._add(part, counts, ids)
 
-    def numbers(self, text: bytes) -> np.ndarray:
-        """The words of a text as numbers into ``start`` and ``length``."""
-        words = text.split()
-        try:
-            return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        except KeyError:
+    def numbers(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """The words of each text as numbers into ``start`` and ``length``, good until the next text is asked for."""
+        held, size = [], 0
+        for text in texts:
+            held.append(text.split())
+            size += len(text)
+            if size >= AT_ONCE:
+                yield from self._numbered(held)
+                held, size = [], 0
+        yield from self._numbered(held)
+
+    def _numbered(self, texts: list[list[bytes]]) -> Iterator[np.ndarray]:
+        words = set().union(*texts)
+        fresh = words.difference(self.number)
+        if fresh:
             if len(self.number) > KEPT_WORDS:
                 self._clear()
-            self._learn([w for w in dict.fromkeys(words) if w not in self.number])
-            return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-
-    def ids(self, text: bytes) -> np.ndarray:
-        at = self.numbers(text)
-        lengths = self.length[at]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.pool[np.arange(total) + np.repeat(self.start[at] - (ends - lengths), lengths)]
-
+                fresh = words
+            self._learn(fresh)
+        for text in texts:
+            yield np.fromiter(map(self.number.__getitem__, text), np.int64, len(text))
 
-_loaded: dict[str, WordPieces] = {}
+    def ids(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        for at in self.numbers(texts):
+            lengths = self.length[at]
+            ends = np.cumsum(lengths)
+            total = int(ends[-1]) if len(ends) else 0
+            yield self.pool[np.arange(total) + np.repeat(self.start[at] - (ends - lengths), lengths)]
 
 
 def word_pieces(path: str) -> WordPieces:
-    """One table for each Python worker, kept between its tasks."""
-    if path not in _loaded:
-        _loaded[path] = WordPieces(path)
-    return _loaded[path]
+    """One table for each Python worker, kept between its tasks of one operator."""
+    return worker_table(path, lambda: WordPieces(path))

@@ -323,3 +323,20 @@ def test_verbatim_items_are_found(spark):
     ]
     out = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.item_id, r.same_values) for r in out) == [(1, 1, True), (2, 2, True), (3, 3, False), (4, 4, True), (6, 2, False)]
+
+
+def test_words_are_learnt_for_many_texts_at_once(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tabloom.llm.wordpieces import WordPieces
+
+    path, calls = public_tokenizers.path("word_bpe_49k.json"), []
+    pieces, library, learn = WordPieces(path), Tokenizer.from_file(path), WordPieces._learn
+    monkeypatch.setattr(WordPieces, "_learn", lambda self, words: (calls.append(1), learn(self, words)))
+    letters = ["aB", "É", "ÀÿÐ", "ß", "×", "µ", "ς", "é", "İ", "9", "'s"]
+    marks = ["", ".", "),", "***", "<|", "'", "-x", "$\x7f", "\x1c"]
+    texts = [f"{a}{b}{c} {b}{a}{c}{i}" for i, a in enumerate(letters) for b in letters for c in marks] + [""]
+    got = [x.tolist() for x in pieces.ids(t.encode() for t in texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(calls) == 1
