@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabloom.llm.common import as_long, table, written
+from tabloom.llm.common import as_long, table, worker_table, written
 
 WORDS, COVER = 8, 0.5
 #: Windows of a benchmark that may be broadcast; beyond, the join shuffles.
@@ -80,16 +80,14 @@ class _Vocabulary:
             return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
 
-_vocabulary = _Vocabulary()
-
-
 def template(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Words, their template hashes, which of them are placeholders, and the words' own hashes."""
     found = TOKEN.findall(text)
     if not found:
         return [], np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, np.uint64)
-    at = _vocabulary(found)
-    own, kinds = _vocabulary.hash[at], _vocabulary.kind[at]
+    vocabulary = worker_table("vocabulary", _Vocabulary)
+    at = vocabulary(found)
+    own, kinds = vocabulary.hash[at], vocabulary.kind[at]
     end = kinds == END
     opens = np.concatenate([[True], end[:-1]])
     name = (kinds == CAPITAL) & ~opens

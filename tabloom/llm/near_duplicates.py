@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tabloom.llm.common import BLANK, as_long, bucketed, table, text_or_empty, written
+from tabloom.llm.common import BLANK, as_long, bucketed, table, text_or_empty, worker_table, written
 
 BLOCK, PIVOTS, DEPTH = 64, 8, 10
 #: Share of the pairs at exactly the threshold that meet although every node is branched to the last
@@ -91,15 +91,12 @@ class _Words:
             return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
 
-_words = _Words()
-
-
 def shingles(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text."""
     words = text.lower().split()  # of bytes: A-Z, and space and tab to carriage return
     if not words:
         return np.empty(0, np.uint64)
-    codes, n = _words(words), min(size, len(words))
+    codes, n = worker_table("shingle words", _Words)(words), min(size, len(words))
     m = len(codes) - n + 1
     out = np.full(m, n, np.uint64)
     for j in range(n):

@@ -340,3 +340,18 @@ def test_words_are_learnt_for_many_texts_at_once(monkeypatch):
     got = [x.tolist() for x in pieces.ids(t.encode() for t in texts)]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert len(calls) == 1
+
+
+def test_a_worker_keeps_the_words_of_one_operator():
+    import public_tokenizers
+
+    from tabloom.llm import common, decontaminate, near_duplicates
+    from tabloom.llm.wordpieces import word_pieces
+
+    pieces = word_pieces(public_tokenizers.path("word_bpe_49k.json"))
+    assert word_pieces(public_tokenizers.path("word_bpe_49k.json")) is pieces
+    one = near_duplicates.shingles(b"a b c d e f", 4)
+    assert list(common._kept) == ["shingle words"]
+    decontaminate.template("Ann has 3 apples")
+    assert list(common._kept) == ["vocabulary"]
+    assert (near_duplicates.shingles(b"a b c d e f", 4) == one).all() and len(common._kept) == 1
