@@ -342,6 +342,25 @@ def test_words_are_learnt_for_many_texts_at_once(monkeypatch):
     assert len(calls) == 1
 
 
+def test_a_word_is_learnt_once_whatever_its_case_and_marks():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tabloom.llm.wordpieces import WordPieces
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces, library = WordPieces(path), Tokenizer.from_file(path)
+    few = ["Word word, WORD.", "", "word: été, word.\nété"]
+    # what must not be cut or lower-cased: added tokens, letters that marks join, words of other bytes
+    odd = ["a<|endoftext|>, B<|ENDOFTEXT|>.", "H\u0331. h\u0331 E\u0301, \u212a\u0340.", "Don'T, x.y,\u2026Z. 3.14, \u2029. \x1cA,", ".", " \n", "ÉTÉ, É-a"]
+    got = [[x.tolist() for x in pieces.ids(t.encode() for t in few)], len(pieces.number), [x.tolist() for x in pieces.ids(t.encode() for t in odd)]]
+    encoded = [[library.encode(t, add_special_tokens=False).ids for t in texts] for texts in (few, odd)]
+    # word, été, the comma, the full stop, the colon
+    assert got == [encoded[0], 5, encoded[1]]
+    lengths = [int(pieces.length[x].sum()) for x in pieces.numbers(t.encode() for t in few + odd)]
+    assert lengths == [len(x) for x in encoded[0] + encoded[1]]
+
+
 def test_a_worker_keeps_the_words_of_one_operator():
     import public_tokenizers
 
